@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,15 +21,18 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def constant(values: list, kind: str) -> Column:
+    """A constant array as one folded literal, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def doubles(values) -> Column:
-    """A constant ``array<double>``; parsed once and folded to a literal."""
-    items = ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"{float(v)!r}D" for v in values)
-    return F.expr(f"array({items})")
+    return constant([None if v is None else float(v) for v in values], "double")
 
 
 def longs(values) -> Column:
-    return F.expr("array(" + ", ".join(f"{int(v)}L" for v in values) + ")")
+    return constant([int(v) for v in values], "bigint")
 
 
 def strings(values) -> Column:
-    return F.expr("array(" + ", ".join(text(str(v)) for v in values) + ")")
+    return constant([str(v) for v in values], "string")
