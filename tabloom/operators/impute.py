@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.names import col
-from tabloom.operators.cleaning import replaced
+from tabloom.operators.cleaning import complete_rows, replaced
 from tabloom.operators.neighbors import BLOCK_ROWS, nearest
 from tabloom.operators.profile import value_counts
 from tabloom.operators.quantiles import median
@@ -52,14 +52,8 @@ def knn_values(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, bloc
     columns = list(columns)
     wants = [col(c).isNull() for c in columns]
     gives = [col(c).isNotNull() for c in columns]
-    near = nearest(df, df, key, key, columns, k, wants, gives, block_rows)
-    cells = [p for i, c in enumerate(columns) for p in (F.lit(i), col(c).cast("double"))]
-    values = df.select(col(key).cast("bigint").alias("did"), F.stack(F.lit(len(columns)), *cells).alias("target", "value"))
-    # Donor keys are unique per target and receivers pick at most k of them: an even join on (donor, target).
-    return (
-        near.join(values.where("value IS NOT NULL"), ["did", "target"])
-        .groupBy("rid", "target").agg(F.avg("value").alias("value"))
-    )
+    near = nearest(df, df, key, key, columns, k, wants, gives, [col(c) for c in columns], block_rows)
+    return near.groupBy("rid", "target").agg(F.avg("value").alias("value"))
 
 
 def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -77,5 +71,4 @@ def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, bloc
 
 def enough_complete_rows(df: DataFrame, columns: Sequence[str] | None = None, least: int = MIN_COMPLETE) -> bool:
     """Whether a generator can be fitted on complete rows; below the limit the median is the fallback."""
-    from tabloom.operators.cleaning import complete_rows
     return len(complete_rows(df, columns).limit(least).select(F.lit(1)).collect()) >= least
