@@ -27,7 +27,9 @@ def read_dirty_csv(spark: SparkSession, path: str, tokens: Sequence[str] = NA_TO
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Cells are written as they are, outer blanks included."""
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
