@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from registry import long_sql, query, rounded, table, view, view_sql
-from registry.inputs import LINE_COLUMNS, SOURCES
+from registry.cleaning import MARKED, marked_part, number_sql
+from registry.inputs import DIRTY_NAMES, LINE_COLUMNS, SOURCES
 from tabloom.functions.cells import pair_label
 from tabloom.functions.pvalues import limit_sql, with_p_value
+from tabloom.operators import cleaning
 from tabloom.operators import compare as cmp
 from tabloom.operators import rules
 from tabloom.operators.cdf import build_axis, two_sample
@@ -199,10 +201,13 @@ def comparison_facts(spark, sf):
     return comparison(spark, sf).facts().where("section = 'winners' AND fact = 'winner'")
 
 
-@query("common_numeric_columns", """SELECT * FROM (VALUES ('l_discount'), ('l_extendedprice'), ('l_quantity')) t(name)""")
+@query("common_numeric_columns", f"""{MARKED}, counts AS ({" UNION ALL ".join(
+    f'''SELECT '{c}' AS name, count("{c}") AS filled, count({number_sql(f'"{c}"')}) AS parsable FROM marked''' for c in DIRTY_NAMES)})
+    SELECT name FROM counts WHERE filled > 0 AND filled = parsable UNION ALL SELECT 'p_partkey'""")
 def common_numeric_columns(spark, sf):
-    tables = source_tables(spark, sf)
-    shared = cmp.common_numeric([table(spark, sf, "lineitem"), *tables.values()])
+    """One bad token makes a column text in one table, so it is common to none."""
+    cleaned = cleaning.apply_tokens(marked_part(spark, sf), ["retail %", "size %"])
+    shared = cmp.common_numeric([marked_part(spark, sf), cleaned], strict=True)
     return spark.createDataFrame([(c,) for c in shared], "name string")
 
 
@@ -213,8 +218,8 @@ def moments_by_source(spark, sf):
 
 
 @query("value_counts_top8", """WITH t AS (SELECT 'customer' AS source, c_mktsegment AS v FROM customer UNION ALL SELECT 'supplier', s_name FROM supplier),
-    c AS (SELECT source, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY source) AS t FROM t GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, v) AS r FROM c)
+    c AS (SELECT source, v, count(*) AS n FROM t GROUP BY source, v),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY source) AS t, row_number() OVER (PARTITION BY source ORDER BY n DESC, v) AS r FROM c)
     SELECT source, 'name' AS "column", v AS category, n, round(n / t, 9) AS share FROM r WHERE r <= 8""")
 def value_counts_top8(spark, sf):
     tables = {"customer": table(spark, sf, "customer").selectExpr("c_mktsegment AS name"), "supplier": table(spark, sf, "supplier").selectExpr("s_name AS name")}

@@ -13,13 +13,21 @@ from pyspark.sql.types import NumericType
 from tabloom.functions.names import col
 from tabloom.operators.cdf import Axis, build_axis, stacked, two_sample
 from tabloom.operators.histogram import jensen_shannon
+from tabloom.operators.schema import parse_counts
 
 METRICS = ("wasserstein", "ks", "js")
 
 
-def common_numeric(tables: Sequence[DataFrame]) -> list[str]:
-    """Sorted names that are numeric in every table."""
-    sets = [{f.name for f in t.schema.fields if isinstance(f.dataType, NumericType)} for t in tables]
+def common_numeric(tables: Sequence[DataFrame], strict: bool = False) -> list[str]:
+    """Sorted names that are numeric in every table, by type; ``strict`` reads text columns too and takes those in which
+    every filled cell is a number."""
+    sets = []
+    for t in tables:
+        names = {f.name for f in t.schema.fields if isinstance(f.dataType, NumericType)}
+        if strict:
+            counts = parse_counts(t).where("filled > 0 AND filled = parsable")
+            names |= {r["column"] for r in counts.collect()}
+        sets.append(names)
     return sorted(set.intersection(*sets))
 
 

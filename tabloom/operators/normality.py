@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.cells import finite
 from tabloom.functions.names import col, strings
-from tabloom.functions.normal import cdf_sql, number, polynomial, ppf_sql
+from tabloom.functions.normal import cdf_sql, number, polynomial, with_ppf
 
 # Royston's polynomials, from the constant term up, and the sample sizes the test covers.
 OUTER = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -24,32 +24,38 @@ LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 SMALLEST, LARGEST = 3, 4_999
 
 
-def statistic_sql(n: str, cross: str, ss: str, squares: str, m1: str, m2: str, ends: str, next_ends: str) -> str:
-    """W from the sums: ``cross`` = sum(m x), ``squares`` = sum(m^2), ``ends`` = x_n - x_1, ``next_ends`` = x_(n-1) - x_2."""
-    root = f"(1e0 / sqrt({n}))"
-    a1 = f"({polynomial(root, OUTER)} - {m1} / sqrt({squares}))"
-    a2 = f"({polynomial(root, SECOND)} - {m2} / sqrt({squares}))"
-    two = (f"sqrt(({squares} - 2e0 * {m1} * {m1} - 2e0 * {m2} * {m2}) / (1e0 - 2e0 * {a1} * {a1} - 2e0 * {a2} * {a2}))")
-    one = f"sqrt(({squares} - 2e0 * {m1} * {m1}) / (1e0 - 2e0 * {a1} * {a1}))"
-    inner_two = f"(({cross} + {m1} * {ends} + {m2} * {next_ends}) / {two} + {a1} * {ends} + {a2} * {next_ends})"
-    inner_one = f"(({cross} + {m1} * {ends}) / {one} + {a1} * {ends})"
-    weighted = (f"(CASE WHEN {n} <= 3e0 THEN {number(math.sqrt(0.5))} * {ends} "
-                f"WHEN {n} <= 5e0 THEN {inner_one} ELSE {inner_two} END)")
-    return f"({weighted} * {weighted} / {ss})"
+def with_statistic(sums: DataFrame) -> DataFrame:
+    """Add ``w`` from the sums of a column, one small step per projection."""
+    steps = [
+        {"u": "1e0 / sqrt(size)", "spread": "sqrt(squares)"},
+        {"a1": f"{polynomial('u', OUTER)} - m1 / spread", "a2": f"{polynomial('u', SECOND)} - m2 / spread"},
+        {"inner1": "sqrt(abs((squares - 2e0 * m1 * m1) / (1e0 - 2e0 * a1 * a1)))",
+         "inner2": "sqrt(abs((squares - 2e0 * m1 * m1 - 2e0 * m2 * m2) / (1e0 - 2e0 * a1 * a1 - 2e0 * a2 * a2)))"},
+        {"weighted": f"CASE WHEN size <= 3e0 THEN {number(math.sqrt(0.5))} * ends "
+                     "WHEN size <= 5e0 THEN (cross_sum + m1 * ends) / inner1 + a1 * ends "
+                     "ELSE (cross_sum + m1 * ends + m2 * next_ends) / inner2 + a1 * ends + a2 * next_ends END"},
+        {"w": "weighted * weighted / ss"},
+    ]
+    for step in steps:
+        sums = sums.selectExpr("*", *[f"{e} AS {n}" for n, e in step.items()])
+    return sums
 
 
-def p_value_sql(n: str, w: str) -> str:
-    """p-value of W, with the exact form for n = 3 and log-normal forms below and above 12."""
-    gap = f"ln(CASE WHEN {w} >= 1e0 THEN 1e-300 ELSE 1e0 - {w} END)"
-    ln_n = f"ln({n})"
-    exact = (f"(CASE WHEN {w} <= 7.5e-1 THEN 0e0 ELSE {number(6 / math.pi)} * (asin(sqrt({w})) "
-             f"- {number(math.asin(math.sqrt(0.75)))}) END)")
-    gamma = polynomial(n, SMALL_GAMMA)
-    small_z = f"((-ln({gamma} - {gap}) - {polynomial(n, SMALL_MEAN)}) / exp({polynomial(n, SMALL_LOG_SD)}))"
-    large_z = f"(({gap} - {polynomial(ln_n, LARGE_MEAN)}) / exp({polynomial(ln_n, LARGE_LOG_SD)}))"
-    return (f"(CASE WHEN {n} <= 3e0 THEN {exact} "
-            f"WHEN {n} <= 1.1e1 THEN (CASE WHEN {gap} >= {gamma} THEN 1e-99 ELSE {cdf_sql('(-' + small_z + ')')} END) "
-            f"ELSE {cdf_sql('(-' + large_z + ')')} END)")
+def with_p_value(tests: DataFrame) -> DataFrame:
+    """Add ``p_value`` of ``w``: exact for 3 values, log-normal forms below and from 12 on."""
+    exact = (f"CASE WHEN w <= 7.5e-1 THEN 0e0 ELSE {number(6 / math.pi)} * (asin(sqrt(w)) - {number(math.asin(math.sqrt(0.75)))}) END")
+    steps = [
+        {"gap": "ln(CASE WHEN w >= 1e0 THEN 1e-300 ELSE 1e0 - w END)", "ln_n": "ln(size)", "limit": polynomial("size", SMALL_GAMMA)},
+        {"z": f"CASE WHEN size <= 3e0 THEN 0e0 "
+              f"WHEN size <= 1.1e1 THEN CASE WHEN gap >= limit THEN 4e1 "
+              f"ELSE (-ln(limit - gap) - {polynomial('size', SMALL_MEAN)}) / exp({polynomial('size', SMALL_LOG_SD)}) END "
+              f"ELSE (gap - {polynomial('ln_n', LARGE_MEAN)}) / exp({polynomial('ln_n', LARGE_LOG_SD)}) END"},
+        {"lower": "-z"},
+        {"p_value": f"CASE WHEN size <= 3e0 THEN {exact} ELSE {cdf_sql('lower')} END"},
+    ]
+    for step in steps:
+        tests = tests.selectExpr("*", *[f"{e} AS {n}" for n, e in step.items()])
+    return tests
 
 
 def shapiro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,7 +72,7 @@ def shapiro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ordered = W.partitionBy("ci").orderBy("x")
     ranked = long.select("ci", "x", F.row_number().over(ordered).alias("r"),
                          F.count("*").over(W.partitionBy("ci")).alias("n"))
-    scored = ranked.withColumn("p", F.expr("(r - 3.75e-1) / (n + 2.5e-1)")).withColumn("m", F.expr(ppf_sql("p")))
+    scored = with_ppf(ranked.withColumn("p", F.expr("(r - 3.75e-1) / (n + 2.5e-1)")), {"m": "p"})
 
     def at(value: str, rank: str):
         return F.max(F.when(F.expr(f"r = {rank}"), F.col(value)))
@@ -76,8 +82,5 @@ def shapiro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.var_pop("x") * F.count("*")).alias("ss"), F.sum(F.col("m") * F.col("m")).alias("squares"),
         at("m", "1").alias("m1"), at("m", "2").alias("m2"), (at("x", "n") - at("x", "1")).alias("ends"),
         (at("x", "n - 1") - at("x", "2")).alias("next_ends"))
-    w = statistic_sql("size", "cross_sum", "ss", "squares", "m1", "m2", "ends", "next_ends")
-    return (
-        sums.where("ss > 0").withColumn("w", F.expr(w)).withColumn("p_value", F.expr(p_value_sql("size", "w")))
-        .select(F.element_at(strings(columns), F.col("ci") + 1).alias("column"), "n", "w", "p_value")
-    )
+    return with_p_value(with_statistic(sums.where("ss > 0"))).select(
+        F.element_at(strings(columns), F.col("ci") + 1).alias("column"), "n", "w", "p_value")
