@@ -20,7 +20,7 @@ from tabloom.functions.cells import finite
 from tabloom.functions.names import col, doubles, longs, strings
 from tabloom.operators.buckets import bucket_count, cut_points, locate
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 100_000
 PAIRS_PER_PASS = 48
 MAX_LABELS = 4_096
 BROADCAST_CELLS = 1_000_000
@@ -85,11 +85,13 @@ def build_axis(df: DataFrame, columns: Sequence[str], label: str, labels: Sequen
     chosen = data.where(F.col("g").isin(*labels))
 
     buckets = {k: bucket_count(sum(sizes[i]), rows_per_bucket) for i, k in enumerate(keys)}
-    cuts = cut_points(chosen, buckets)
+    cuts = cut_points(chosen, buckets, {k: sum(sizes[i]) for i, k in enumerate(keys)})
     placed = locate(chosen.withColumn("gi", F.array_position(strings(labels), F.col("g"))),
                     {f"b{i}": (k, cuts[k]) for i, k in enumerate(keys)})
     cells = [piece for i, k in enumerate(keys) for piece in (F.lit(i), F.col(k), F.col(f"b{i}"))]
-    long = placed.select("gi", F.stack(F.lit(len(keys)), *cells).alias("ci", "x", "b")).where("x IS NOT NULL")
+    # All three conditions are spelled out, so that no consumer infers one of its own and all of them share one shuffle.
+    long = placed.select("gi", F.stack(F.lit(len(keys)), *cells).alias("ci", "x", "b")).where(
+        "x IS NOT NULL AND ci IS NOT NULL AND b IS NOT NULL")
     counts = long.groupBy("ci", "b", "x").agg(
         *[F.count_if(F.col("gi") == g + 1).alias(f"n{g}") for g in range(len(labels))])
     return Axis(columns, labels, sizes, lows, highs, counts, any(cuts.values()))
@@ -127,11 +129,21 @@ def label_pairs(axis: Axis, against: str | None = None) -> list[tuple[int, int]]
     return [(first, g) for g in range(len(axis.labels)) if g != first]
 
 
-def two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:
-    """Kolmogorov-Smirnov statistic and Wasserstein distance for every column and pair of labels."""
+def named_pairs(table: DataFrame, axis: Axis) -> DataFrame:
+    """Names in place of the numbers ``ci``, ``ia``, ``ib``."""
+    names = strings(axis.labels)
+    rest = [c for c in table.columns if c not in ("ci", "ia", "ib")]
+    return table.select(axis.column_name().alias("column"), F.element_at(names, F.col("ia") + 1).alias("label_a"),
+                        F.element_at(names, F.col("ib") + 1).alias("label_b"), *rest)
+
+
+def numbered_two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:
+    """(ci, ia, ib, n_a, n_b, ks, wasserstein)."""
     running = cumulative(axis)
     step = F.coalesce(F.col("next_x") - F.col("x"), F.lit(0.0))
     pairs = label_pairs(axis, against)
+    if not pairs:
+        raise ValueError("two labels are needed")
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start:start + PAIRS_PER_PASS]
@@ -144,18 +156,13 @@ def two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> Dat
             for t, e in (("k", F.max(gap)), ("w", F.sum(gap * F.col("step"))))])
         cells = [piece for i, (a, b) in enumerate(chunk)
                  for piece in (F.lit(a), F.lit(b), axis.size(a), axis.size(b), F.col(f"k{i}"), F.col(f"w{i}"))]
-        parts.append(wide.select(
-            axis.column_name().alias("column"), "ci",
-            F.stack(F.lit(len(chunk)), *cells).alias("ia", "ib", "n_a", "n_b", "ks", "wasserstein")))
-    if not parts:
-        raise ValueError("two labels are needed")
-    names = strings(axis.labels)
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .where((F.col("n_a") >= min_size) & (F.col("n_b") >= min_size))
-        .select("column", F.element_at(names, F.col("ia") + 1).alias("label_a"),
-                F.element_at(names, F.col("ib") + 1).alias("label_b"), "n_a", "n_b", "ks", "wasserstein")
-    )
+        parts.append(wide.select("ci", F.stack(F.lit(len(chunk)), *cells).alias("ia", "ib", "n_a", "n_b", "ks", "wasserstein")))
+    return reduce(DataFrame.unionByName, parts).where((F.col("n_a") >= min_size) & (F.col("n_b") >= min_size))
+
+
+def two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:
+    """Kolmogorov-Smirnov statistic and Wasserstein distance for every column and pair of labels."""
+    return named_pairs(numbered_two_sample(axis, against, min_size), axis)
 
 
 def rank_quantiles(axis: Axis, points: Column | int) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tabloom.functions.names import col
-from tabloom.operators.cdf import Axis, build_axis, stacked, two_sample
-from tabloom.operators.histogram import jensen_shannon
+from tabloom.operators.cdf import Axis, build_axis, named_pairs, numbered_two_sample, stacked
+from tabloom.operators.histogram import numbered_jensen_shannon
 from tabloom.operators.schema import parse_counts
 
 METRICS = ("wasserstein", "ks", "js")
@@ -40,11 +40,12 @@ def source_axis(original: DataFrame, candidates: Mapping[str, DataFrame], column
 
 
 def distances(axis: Axis, original: str = "original") -> DataFrame:
-    """(column, candidate, wasserstein, ks, js): both parts grow from the same collapsed counts."""
-    two = two_sample(axis, original, min_size=1).select(
-        "column", F.col("label_b").alias("candidate"), "n_a", "n_b", "wasserstein", "ks")
-    js = jensen_shannon(axis, original).select("column", F.col("label_b").alias("candidate"), "js")
-    return two.join(js, ["column", "candidate"], "left")
+    """(column, candidate, n_a, n_b, wasserstein, ks, js): both parts grow from the same collapsed counts.
+
+    They are joined by number, not by name, so that no condition on the names sinks into one of them.
+    """
+    both = numbered_two_sample(axis, original).join(numbered_jensen_shannon(axis, original), ["ci", "ia", "ib"], "left")
+    return named_pairs(both, axis).select("column", F.col("label_b").alias("candidate"), "n_a", "n_b", "wasserstein", "ks", "js")
 
 
 def long_metrics(table: DataFrame) -> DataFrame:

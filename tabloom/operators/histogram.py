@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.names import doubles, strings
-from tabloom.operators.cdf import Axis, label_pairs, rank_quantiles
+from tabloom.operators.cdf import Axis, label_pairs, named_pairs, rank_quantiles
 
 # 50 shared edges give 49 bins for the distance; 20 bins for the density tables.
 DISTANCE_BINS = 49
@@ -22,34 +22,35 @@ def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def shared_histogram(axis: Axis, bins: int = DISTANCE_BINS) -> DataFrame:
-    """Counts per label in bins over the joint range of all labels: (ci, bin, n0, n1, ...)."""
+    """Counts per label in bins over the joint range of all labels: (ci, bin, n0, n1, ...); no bin in a constant column.
+
+    Nothing is filtered here: a condition on the bin would sink below the shared shuffle and split it in two.
+    """
     binned = axis.counts.withColumn("bin", bin_of(F.col("x"), axis.low(), axis.high(), bins))
-    return binned.where("bin IS NOT NULL").groupBy("ci", "bin").agg(
-        *[F.sum(f"n{g}").alias(f"n{g}") for g in range(len(axis.labels))])
+    return binned.groupBy("ci", "bin").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(len(axis.labels))])
 
 
-def jensen_shannon(axis: Axis, against: str | None = None, bins: int = DISTANCE_BINS) -> DataFrame:
-    """Square-root Jensen-Shannon distance (natural log) of the binned samples; none for a constant column."""
+def numbered_jensen_shannon(axis: Axis, against: str | None = None, bins: int = DISTANCE_BINS) -> DataFrame:
+    """(ci, ia, ib, js)."""
     shares = shared_histogram(axis, bins)
-    pairs = label_pairs(axis, against)
 
     def pull(p: Column, mid: Column) -> Column:
         return F.when(p > 0, p * F.ln(p / mid)).otherwise(0.0)
 
     cells = []
+    pairs = label_pairs(axis, against)
     for a, b in pairs:
         p = F.col(f"n{a}") / F.nullif(axis.size(a).cast("double"), F.lit(0.0))
         q = F.col(f"n{b}") / F.nullif(axis.size(b).cast("double"), F.lit(0.0))
         mid = (p + q) / 2
-        cells += [F.lit(a), F.lit(b), pull(p, mid) + pull(q, mid)]
-    names = strings(axis.labels)
-    return (
-        shares.select("ci", F.stack(F.lit(len(pairs)), *cells).alias("ia", "ib", "part"))
-        .groupBy("ci", "ia", "ib").agg(F.sum("part").alias("total"))
-        .select(axis.column_name().alias("column"), F.element_at(names, F.col("ia") + 1).alias("label_a"),
-                F.element_at(names, F.col("ib") + 1).alias("label_b"),
-                F.sqrt(F.greatest(F.col("total") / 2, F.lit(0.0))).alias("js"))
-    )
+        cells += [F.lit(a), F.lit(b), F.when(F.col("bin").isNotNull(), pull(p, mid) + pull(q, mid))]
+    parts = shares.select("ci", F.stack(F.lit(len(pairs)), *cells).alias("ia", "ib", "part"))
+    return parts.groupBy("ci", "ia", "ib").agg(F.sqrt(F.greatest(F.sum("part") / 2, F.when(F.count("part") > 0, F.lit(0.0)))).alias("js"))
+
+
+def jensen_shannon(axis: Axis, against: str | None = None, bins: int = DISTANCE_BINS) -> DataFrame:
+    """Square-root Jensen-Shannon distance (natural log) of the binned samples; none for a constant column."""
+    return named_pairs(numbered_jensen_shannon(axis, against, bins), axis)
 
 
 def density_histogram(axis: Axis, bins: int = DENSITY_BINS) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact, linearly interpolated quantiles without sorting the table.
 
-Every target rank starts with the interval [min, max]. While an interval holds more than ``limit`` rows, a sketch over just
-that interval proposes a narrower one, and a counting scan proves that the rank lies inside it; a proposal that fails the
-proof is widened. Each round shrinks the interval by about ``accuracy / 4`` and moves only sketches and counts, so the
-table itself is never shuffled. The last step groups the few remaining values and reads the ranks off.
+Every target rank starts with the interval [min, max]. While an interval holds more than ``limit`` rows, a sketch over a
+sample of just that interval proposes a narrower one, and a counting scan over all rows proves that the rank lies inside it;
+a proposal that fails the proof is widened. Sampling decides only how fast the interval shrinks, never the answer. A round
+shrinks it some hundred times and moves only sketches and counts, so the table itself is never shuffled. The last step groups
+the few remaining values and reads the ranks off.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LIMIT = 1_000_000
+LIMIT = 100_000
 ACCURACY = 10_000
+SAMPLE_ROWS = 250_000
 
 
 @dataclass
@@ -46,7 +48,7 @@ class Target:
 
 
 def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float],
-                    limit: int = LIMIT, accuracy: int = ACCURACY) -> dict[str, dict[float, float | None]]:
+                    limit: int = LIMIT, accuracy: int = ACCURACY, sample_rows: int = SAMPLE_ROWS) -> dict[str, dict[float, float | None]]:
     """Quantiles of every expression; NULLs are skipped, a column of NULLs gives None."""
     names = list(exprs)
     keys = {f"c{i}": name for i, name in enumerate(names)}
@@ -63,13 +65,13 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[
         for p in probs if n else ():
             h = p * (n - 1)
             rank = min(math.floor(h), n - 1)
-            targets.append(Target(k, p, rank, h - rank, facts[f"lo_{k}"], facts[f"hi_{k}"], 0, n, 2.0 / accuracy))
+            targets.append(Target(k, p, rank, h - rank, facts[f"lo_{k}"], facts[f"hi_{k}"], 0, n, 2.0 / accuracy + 2.0 / math.sqrt(sample_rows)))
 
     while True:
         wide = [t for t in targets if t.inside > limit and t.low < t.high and not t.done]
         if not wide:
             break
-        narrow(data, wide, accuracy)
+        narrow(data, wide, accuracy, sample_rows)
 
     read_off(data, targets)
     for t in targets:
@@ -77,23 +79,38 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[
     return out
 
 
-def narrow(data: DataFrame, targets: Sequence[Target], accuracy: int) -> None:
-    """One round: sketch inside each interval, then prove the proposal by counting."""
+def narrow(data: DataFrame, targets: Sequence[Target], accuracy: int, sample_rows: int) -> None:
+    """One round: sketch a sample of each interval, then prove the proposals by counting all rows."""
+    spans: dict[tuple, list[Target]] = {}
+    for t in targets:
+        spans.setdefault((t.c, t.low, t.high), []).append(t)
     sketches = []
-    for i, t in enumerate(targets):
-        left = max(0.0, (t.rank - t.base) / t.inside - t.slack)
-        right = min(1.0, (t.last + 1 - t.base) / t.inside + t.slack)
-        inside = F.when(F.col(t.c).between(t.low, t.high), F.col(t.c))
-        sketches.append(F.percentile_approx(inside, [left, right], accuracy).alias(f"s{i}"))
-    proposals = data.agg(*sketches).first()
+    for i, ((c, low, high), group) in enumerate(spans.items()):
+        inside = F.when(F.col(c).between(low, high), F.col(c))
+        shares = []
+        for t in group:
+            shares.append(max(0.0, (t.rank - t.base) / t.inside - t.slack))
+            shares.append(min(1.0, (t.last + 1 - t.base) / t.inside + t.slack))
+        sketches.append(F.percentile_approx(inside, shares, accuracy).alias(f"s{i}"))
+    fraction = min(1.0, sample_rows / min(t.inside for t in targets))
+    rows = data if fraction >= 1.0 else data.sample(fraction, seed=17)
+    found = rows.agg(*sketches).first()
+    proposals = {}
+    for i, ((_, low, high), group) in enumerate(spans.items()):
+        for k, t in enumerate(group):
+            lo, hi = found[f"s{i}"][2 * k:2 * k + 2] if found[f"s{i}"] else (low, high)
+            # An outermost share reaches to the end of the interval itself: a sample may miss its last values.
+            at_start = (t.rank - t.base) / t.inside <= t.slack
+            at_end = (t.last + 1 - t.base) / t.inside + t.slack >= 1.0
+            proposals[id(t)] = (low if at_start else lo, high if at_end else hi)
     counts = []
     for i, t in enumerate(targets):
-        lo, hi = proposals[f"s{i}"]
+        lo, hi = proposals[id(t)]
         counts.append(F.count_if(F.col(t.c) < lo).alias(f"b{i}"))
         counts.append(F.count_if(F.col(t.c).between(lo, hi)).alias(f"k{i}"))
     proof = data.agg(*counts).first()
     for i, t in enumerate(targets):
-        (lo, hi), base, inside = proposals[f"s{i}"], proof[f"b{i}"], proof[f"k{i}"]
+        (lo, hi), base, inside = proposals[id(t)], proof[f"b{i}"], proof[f"k{i}"]
         if base <= t.rank and t.last < base + inside:
             # An interval that cannot shrink any more is made of heavy ties: few distinct values, cheap to group.
             t.done = inside >= t.inside
@@ -114,14 +131,16 @@ def read_off(data: DataFrame, targets: Sequence[Target]) -> None:
         spans.setdefault((t.c, t.low, t.high, t.base), []).append(t)
     if not spans:
         return
-    cells, wanted = [], F.lit(False)
+    cells, wanted, any_inside = [], F.lit(False), F.lit(False)
     before, upto = F.col("upto") - F.col("cnt"), F.col("upto")
     for i, ((c, lo, hi, base), group) in enumerate(spans.items()):
-        cells += [F.lit(i), F.when(F.col(c).between(lo, hi), F.col(c))]
+        inside = F.col(c).between(lo, hi)
+        any_inside = any_inside | inside
+        cells += [F.lit(i), F.when(inside, F.col(c))]
         for r in sorted({r for t in group for r in (t.rank, t.last)}):
             wanted = wanted | ((F.col("span") == i) & (before <= r - base) & (upto > r - base))
     by_value = (
-        data.select(F.stack(F.lit(len(spans)), *cells).alias("span", "x"))
+        data.where(any_inside).select(F.stack(F.lit(len(spans)), *cells).alias("span", "x"))
         .where("x IS NOT NULL")
         .groupBy("span", "x").agg(F.count("*").alias("cnt"))
     )

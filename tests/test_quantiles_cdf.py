@@ -31,7 +31,7 @@ def brute_ks_w(a, b):
 def test_quantiles(sample, limit):
     rows, df = sample
     probs = [0.0, 0.01, 0.25, 0.333, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, {"x": F.col("`x %`"), "y": F.col("`y.z`")}, probs, limit=limit, accuracy=100)
+    got = exact_quantiles(df, {"x": F.col("`x %`"), "y": F.col("`y.z`")}, probs, limit=limit, accuracy=100, sample_rows=500)
     xs = np.array([r[0] for r in rows])
     ys = np.array([r[1] for r in rows if r[1] is not None])
     for p in probs:
