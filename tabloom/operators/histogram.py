@@ -13,12 +13,17 @@ DISTANCE_BINS = 49
 DENSITY_BINS = 20
 
 
-def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based bin by comparing with the evenly spaced edges themselves; the last bin holds its right edge."""
-    step = (high - low) / F.lit(float(bins))
-    guess = F.floor((x - low) / F.nullif(step, F.lit(0.0)))
-    moved = guess - F.when(x < low + guess * step, 1).otherwise(0) + F.when(x >= low + (guess + 1) * step, 1).otherwise(0)
-    return F.when(step > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), moved)).cast("int"))
+def with_bin(df: DataFrame, low: Column, high: Column, bins: int) -> DataFrame:
+    """Add ``lo``, ``step`` and the 0-based ``bin`` of ``x``, found by comparing with the evenly spaced edges themselves.
+
+    The last bin holds its right edge; an empty range has no bins.
+    """
+    df = df.withColumns({"lo": low, "step": (high - low) / F.lit(float(bins))})
+    df = df.withColumn("guess", F.when(F.col("step") > 0, F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("step"), F.lit(0.0)))))
+    x, lo, step, guess = (F.col(c) for c in ("x", "lo", "step", "guess"))
+    moved = guess - F.when(x < lo + guess * step, 1).otherwise(0) + F.when(x >= lo + (guess + 1) * step, 1).otherwise(0)
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), moved)).cast("int")
+    return df.withColumn("bin", F.when(guess.isNotNull(), at)).drop("guess")
 
 
 def shared_histogram(axis: Axis, bins: int = DISTANCE_BINS) -> DataFrame:
@@ -26,7 +31,7 @@ def shared_histogram(axis: Axis, bins: int = DISTANCE_BINS) -> DataFrame:
 
     Nothing is filtered here: a condition on the bin would sink below the shared shuffle and split it in two.
     """
-    binned = axis.counts.withColumn("bin", bin_of(F.col("x"), axis.low(), axis.high(), bins))
+    binned = with_bin(axis.counts, axis.low(), axis.high(), bins)
     return binned.groupBy("ci", "bin").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(len(axis.labels))])
 
 
@@ -69,13 +74,14 @@ def density_histogram(axis: Axis, bins: int = DENSITY_BINS) -> DataFrame:
     low = F.element_at(doubles(s["lo"] if s else None for s in slots), at)
     high = F.element_at(doubles(s["hi"] if s else None for s in slots), at)
     size = F.element_at(doubles(s["size"] if s else None for s in slots), at)
-    step = (high - low) / F.lit(float(bins))
+    placed = with_bin(ranges.withColumn("size", size), low, high, bins).where("bin IS NOT NULL")
     return (
-        ranges.select("ci", "gi", "n", bin_of(F.col("x"), low, high, bins).alias("bin")).where("bin IS NOT NULL")
-        .groupBy("ci", "gi", "bin").agg(F.sum("n").alias("n"))
+        placed.groupBy("ci", "gi", "bin").agg(
+            F.sum("n").alias("n"), F.first("lo").alias("lo"), F.first("step").alias("step"), F.first("size").alias("size"))
         .select(axis.column_name().alias("column"), F.element_at(strings(axis.labels), F.col("gi") + 1).alias("label"),
-                "bin", (low + F.col("bin") * step).alias("lo"), (low + (F.col("bin") + 1) * step).alias("hi"), "n",
-                (F.col("n") / (size * step)).alias("density"))
+                "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("lo"),
+                (F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("hi"), "n",
+                (F.col("n") / (F.col("size") * F.col("step"))).alias("density"))
     )
 
 
