@@ -55,16 +55,19 @@ def numbered(values: DataFrame, name: str = "idx") -> DataFrame:
 def label_encode(df: DataFrame, column: str, key: str, out: str, unknown: str = "Unknown") -> DataFrame:
     """Alphabetical position of each label, missing ones as ``unknown``.
 
-    Few labels are inlined; many are numbered in parallel and joined with their hot labels spread.
+    Up to ``INLINE_CATEGORIES`` labels, which is counted first, are broadcast; more are numbered in parallel and joined with
+    their hot labels spread.
     """
-    label = F.coalesce(col(column).cast("string"), F.lit(unknown))
-    values = df.select(label.alias("category")).distinct()
+    marked = df.withColumn("__label", F.coalesce(col(column).cast("string"), F.lit(unknown)))
+    values = marked.select("__label").distinct()
     found = [r[0] for r in values.limit(INLINE_CATEGORIES + 1).collect()]
     if len(found) <= INLINE_CATEGORIES:
-        return df.withColumn(out, (F.array_position(strings(sorted(found)), label) - 1).cast("int"))
-    coded = numbered(values).withColumnRenamed("idx", out)
-    marked = df.withColumn("category", label)
-    return salted_join(marked, coded, ["category"], key).drop("category").withColumn(out, F.col(out).cast("int"))
+        rows = [(v, i) for i, v in enumerate(sorted(found))]
+        codes = F.broadcast(df.sparkSession.createDataFrame(rows, f"__label string, `{out}` int"))
+        coded = marked.join(codes, "__label")
+    else:
+        coded = salted_join(marked, numbered(values).withColumn(out, F.col("idx").cast("int")).drop("idx"), ["__label"], key)
+    return coded.drop("__label")
 
 
 @dataclass

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,27 +24,19 @@ SAMPLE_ROWS = 250_000
 
 @dataclass
 class Target:
-    """One wanted quantile: ranks ``rank`` and ``rank + 1`` (when ``frac`` > 0) among ``n`` sorted values."""
+    """One wanted rank (0-based) of a column, known to lie in [low, high], which starts after ``base`` smaller values."""
 
     c: str
-    p: float
     rank: int
-    frac: float
     low: float
     high: float
     base: int
     inside: int
     slack: float
-    done: bool = False
-    found: dict[int, float] = field(default_factory=dict)
+    value: float | None = None
 
-    @property
-    def last(self) -> int:
-        return self.rank + (1 if self.frac > 0 else 0)
-
-    def value(self) -> float:
-        a, b = self.found[self.rank], self.found[self.last]
-        return a + (b - a) * self.frac
+    def open(self, limit: int) -> bool:
+        return self.value is None and self.inside > limit and self.low < self.high
 
 
 def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float],
@@ -59,86 +51,97 @@ def exact_quantiles(df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[
 
     facts = data.agg(*[f(k).alias(f"{t}_{k}") for k in keys
                        for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    targets = []
-    for k in keys:
+    slack = 2.0 / accuracy + 2.0 / math.sqrt(sample_rows)
+    targets: dict[tuple[str, int], Target] = {}
+    places = []
+    for k, name in keys.items():
         n = facts[f"n_{k}"]
         for p in probs if n else ():
             h = p * (n - 1)
             rank = min(math.floor(h), n - 1)
-            targets.append(Target(k, p, rank, h - rank, facts[f"lo_{k}"], facts[f"hi_{k}"], 0, n, 2.0 / accuracy + 2.0 / math.sqrt(sample_rows)))
-
-    while True:
-        wide = [t for t in targets if t.inside > limit and t.low < t.high and not t.done]
-        if not wide:
-            break
-        narrow(data, wide, accuracy, sample_rows)
-
-    read_off(data, targets)
-    for t in targets:
-        out[keys[t.c]][t.p] = t.value()
+            upper = rank + (1 if h > rank else 0)
+            places.append((name, p, k, rank, upper, h - rank))
+            for r in (rank, upper):
+                targets.setdefault((k, r), Target(k, r, facts[f"lo_{k}"], facts[f"hi_{k}"], 0, n, slack))
+
+    attempt = 0
+    while wide := [t for t in targets.values() if t.open(limit)]:
+        narrow(data, wide, accuracy, sample_rows, attempt)
+        attempt += 1
+    read_off(data, targets.values())
+    for name, p, k, rank, upper, frac in places:
+        a, b = targets[(k, rank)].value, targets[(k, upper)].value
+        out[name][p] = a + (b - a) * frac
     return out
 
 
-def narrow(data: DataFrame, targets: Sequence[Target], accuracy: int, sample_rows: int) -> None:
-    """One round: sketch a sample of each interval, then prove the proposals by counting all rows."""
+def by_span(targets) -> dict[tuple, list[Target]]:
     spans: dict[tuple, list[Target]] = {}
     for t in targets:
         spans.setdefault((t.c, t.low, t.high), []).append(t)
+    return spans
+
+
+def narrow(data: DataFrame, targets: Sequence[Target], accuracy: int, sample_rows: int, attempt: int) -> None:
+    """One round: sketch a sample of each interval, then prove the proposals by counting all rows.
+
+    The copies of both ends are counted too: a rank among them is answered, any other lies strictly between, so heavy
+    values never keep an interval from shrinking.
+    """
+    spans = by_span(targets)
     sketches = []
     for i, ((c, low, high), group) in enumerate(spans.items()):
         inside = F.when(F.col(c).between(low, high), F.col(c))
         shares = []
         for t in group:
             shares.append(max(0.0, (t.rank - t.base) / t.inside - t.slack))
-            shares.append(min(1.0, (t.last + 1 - t.base) / t.inside + t.slack))
+            shares.append(min(1.0, (t.rank + 1 - t.base) / t.inside + t.slack))
         sketches.append(F.percentile_approx(inside, shares, accuracy).alias(f"s{i}"))
     fraction = min(1.0, sample_rows / min(t.inside for t in targets))
-    rows = data if fraction >= 1.0 else data.sample(fraction, seed=17)
+    rows = data if fraction >= 1.0 else data.sample(fraction, seed=17 + attempt)
     found = rows.agg(*sketches).first()
-    proposals = {}
-    for i, ((_, low, high), group) in enumerate(spans.items()):
+    counts: dict[tuple, list] = {}
+    proposals = []
+    for i, ((c, low, high), group) in enumerate(spans.items()):
         for k, t in enumerate(group):
             lo, hi = found[f"s{i}"][2 * k:2 * k + 2] if found[f"s{i}"] else (low, high)
             # An outermost share reaches to the end of the interval itself: a sample may miss its last values.
-            at_start = (t.rank - t.base) / t.inside <= t.slack
-            at_end = (t.last + 1 - t.base) / t.inside + t.slack >= 1.0
-            proposals[id(t)] = (low if at_start else lo, high if at_end else hi)
-    counts = []
-    for i, t in enumerate(targets):
-        lo, hi = proposals[id(t)]
-        counts.append(F.count_if(F.col(t.c) < lo).alias(f"b{i}"))
-        counts.append(F.count_if(F.col(t.c).between(lo, hi)).alias(f"k{i}"))
-    proof = data.agg(*counts).first()
-    for i, t in enumerate(targets):
-        (lo, hi), base, inside = proposals[id(t)], proof[f"b{i}"], proof[f"k{i}"]
-        if base <= t.rank and t.last < base + inside:
-            # An interval that cannot shrink any more is made of heavy ties: few distinct values, cheap to group.
-            t.done = inside >= t.inside
-            t.low, t.high, t.base, t.inside = lo, hi, base, inside
+            lo = low if (t.rank - t.base) / t.inside <= t.slack else lo
+            hi = high if (t.rank + 1 - t.base) / t.inside + t.slack >= 1.0 else hi
+            proposals.append((t, lo, hi))
+            x = F.col(c)
+            counts.setdefault((c, lo, hi), [F.count_if(x < lo), F.count_if(x.between(lo, hi)), F.count_if(x == lo), F.count_if(x == hi)])
+    proof = data.agg(*[e.alias(f"{'bklh'[j]}{i}") for i, es in enumerate(counts.values()) for j, e in enumerate(es)]).first()
+    numbers = {key: [proof[f"{m}{i}"] for m in "bklh"] for i, key in enumerate(counts)}
+    for t, lo, hi in proposals:
+        base, inside, at_lo, at_hi = numbers[(t.c, lo, hi)]
+        if not base <= t.rank < base + inside:
+            t.slack = min(1.0, t.slack * 4)
+        elif t.rank < base + at_lo:
+            t.value = lo
+        elif t.rank >= base + inside - at_hi:
+            t.value = hi
         else:
-            t.done = t.slack > 1.0
-            t.slack *= 8
+            t.low, t.high = math.nextafter(lo, math.inf), math.nextafter(hi, -math.inf)
+            t.base, t.inside = base + at_lo, inside - at_lo - at_hi
 
 
-def read_off(data: DataFrame, targets: Sequence[Target]) -> None:
-    """Group the values left in the intervals and pick the wanted ranks."""
+def read_off(data: DataFrame, targets) -> None:
+    """Group the values left in the intervals (at most ``limit`` rows each) and pick the wanted ranks."""
     for t in targets:
-        if t.low == t.high:
-            t.found = {t.rank: t.low, t.last: t.low}
-    open_targets = [t for t in targets if not t.found]
-    spans = {}
-    for t in open_targets:
-        spans.setdefault((t.c, t.low, t.high, t.base), []).append(t)
+        if t.value is None and t.low == t.high:
+            t.value = t.low
+    spans = by_span([t for t in targets if t.value is None])
     if not spans:
         return
     cells, wanted, any_inside = [], F.lit(False), F.lit(False)
     before, upto = F.col("upto") - F.col("cnt"), F.col("upto")
-    for i, ((c, lo, hi, base), group) in enumerate(spans.items()):
+    for i, ((c, lo, hi), group) in enumerate(spans.items()):
         inside = F.col(c).between(lo, hi)
         any_inside = any_inside | inside
         cells += [F.lit(i), F.when(inside, F.col(c))]
-        for r in sorted({r for t in group for r in (t.rank, t.last)}):
-            wanted = wanted | ((F.col("span") == i) & (before <= r - base) & (upto > r - base))
+        for t in group:
+            wanted = wanted | ((F.col("span") == i) & (before <= t.rank - t.base) & (upto > t.rank - t.base))
     by_value = (
         data.where(any_inside).select(F.stack(F.lit(len(spans)), *cells).alias("span", "x"))
         .where("x IS NOT NULL")
@@ -146,13 +149,11 @@ def read_off(data: DataFrame, targets: Sequence[Target]) -> None:
     )
     running = F.sum("cnt").over(W.partitionBy("span").orderBy("x"))
     hits = by_value.withColumn("upto", running).where(wanted).collect()
-    groups = list(spans.items())
+    groups = list(spans.values())
     for hit in hits:
-        (_, _, _, base), group = groups[hit["span"]]
-        for t in group:
-            for r in (t.rank, t.last):
-                if hit["upto"] - hit["cnt"] <= r - base < hit["upto"]:
-                    t.found[r] = hit["x"]
+        for t in groups[hit["span"]]:
+            if hit["upto"] - hit["cnt"] <= t.rank - t.base < hit["upto"]:
+                t.value = hit["x"]
 
 
 def median(df: DataFrame, exprs: Mapping[str, Column], **options) -> dict[str, float | None]:
