@@ -67,6 +67,14 @@ def test_nearest_needs_more_than_its_bucket(spark):
         assert sorted(got[rid]) == want
 
 
+def test_many_targets_in_passes(spark, monkeypatch):
+    from tabloom.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "TARGETS_PER_PASS", 3)
+    x = table(n=120)
+    assert np.allclose(collected(impute.knn_impute(frame(spark, x), "id", COLUMNS, 5)), brute_knn(x, 5), rtol=1e-12)
+
+
 def brute_mice(x, rounds=10, tol=1e-3):
     missing = np.isnan(x)
     z = np.where(missing, np.nanmean(x, axis=0), x)
