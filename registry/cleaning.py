@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from registry import query, rounded, table, view, view_sql
-from registry.inputs import DIRTY_NAMES, DIRTY_PART, EXTREME_EVENTS, EXTREMES, GAPPY_PART, GAPS
+from registry.inputs import DIRTY_NAMES, DIRTY_PART, EXTREME_EVENTS, GAPPY_PART
 from tabloom.functions.cells import DEFAULT_NA_TOKENS, NA_TOKENS
 from tabloom.functions.names import col
 from tabloom.operators import cleaning, duplicates, encode, impute, profile, rules, schema
