@@ -142,15 +142,14 @@ def path_features(path: tuple) -> list[str]:
         found.add("in " + name)
         found.update("in ." + c for c in names)
     found.add(f"depth {min(8, len(blocks))}")
+    found.add("path " + "/".join(".".join((n, *c)) for n, c in blocks[-3:]))
     return sorted(found)
 
 
 def text_features(leaf: Leaf) -> list[str]:
     t = leaf.text
     n = t.count(" ") + 1
-    found = [f"words {min(7, n.bit_length())}", f"linked {round(4 * min(1.0, leaf.linked / len(t)))}", "stop" if t[-1] in ".!?:;…\"'»”)" else "no stop"]
-    found.append(f"commas {min(3, t.count(','))}")
-    return found
+    return [f"words {min(6, n.bit_length())}", f"linked {round(4 * min(1.0, leaf.linked / len(t)))}"]
 
 
 class Model:
@@ -300,7 +299,7 @@ def rebuilt(blocks: list[Leaf], labels: list[int], rng: random.Random) -> tuple[
     inside, kind = [], ""
     for tag, text in body:
         roll = rng.random()
-        if tag == "p" and (kind or roll < 0.08):  # lists, tables, quotes and headings belong to the text as well
+        if tag == "p" and (kind or roll < 0.15):  # lists, tables, quotes and headings belong to the text as well
             kind = kind or rng.choice(("li", "li", "td", "blockquote", "h2", "h3", "pre", "dd", "figcaption", "div"))
             outer = {"li": rng.choice(("ul", "ol")), "td": "table", "dd": "dl", "figcaption": "figure"}.get(kind, "")
             inner = f"<{kind}>{html.escape(text)}</{kind}>"
@@ -309,7 +308,7 @@ def rebuilt(blocks: list[Leaf], labels: list[int], rng: random.Random) -> tuple[
                 kind = ""
         else:
             inside.append(f"<{tag}>{html.escape(text)}</{tag}>")
-        if rng.random() < 0.06:
+        if rng.random() < 0.12:
             inside.append(part(rng.choice(("advert", "side", "notice", "form"))))
     if rng.random() < 0.3:
         inside.insert(0, f"<header><h1>{some(2, 9)}</h1></header>" if rng.random() < 0.3 else part("menu"))
