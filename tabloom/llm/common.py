@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,11 @@ _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps between its tasks. Functions travel by value, so a module's own globals would be new in each."""
+    return sys.modules.setdefault("tabloom_worker_cache", types.ModuleType("tabloom_worker_cache")).__dict__
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and go on from there, so that a lost executor costs a reread only."""
     return cut_lineage(df)

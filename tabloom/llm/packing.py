@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import only, stored
+from tabloom.llm.common import only, stored, worker_cache
 
 END_ID = 2
 LENGTH = 4096
 #: Hashed features of a document vector, projected dimensions, and bits of each coordinate of the curve.
-FEATURES, DIMENSIONS, BITS = 1 << 12, 4, 12
-CACHE_WORDS = 400_000
-_BREAK = b" \t\n\x0b\x0c\r"
+FEATURES, DIMENSIONS, BITS = 1 << 10, 4, 12
+#: Known pieces of each generation; texts tokenised together.
+CACHE_WORDS, TEXTS = 400_000, 256
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -52,21 +52,33 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-class _Words(dict):
-    """Token ids of white-space separated pieces, as bytes; no token of this tokenizer crosses white space."""
+class _Words:
+    """Token ids of white-space separated pieces, as bytes; no token of this tokenizer crosses white space.
 
-    def __init__(self, tokenizer, dtype):
-        super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
+    Two generations of known pieces bound the memory: when the young one is full it becomes the old one.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = np.array(ids, self.dtype).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+    def __init__(self, dtype):
+        self.tokenizer, self.dtype = None, dtype
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Make every piece of these texts known, the new ones in one call of the tokenizer."""
+        if len(self.young) >= CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set()
+        for pieces in texts:
+            new.update(set(pieces).difference(young))
+        for piece in old.keys() & new:
+            young[piece] = old[piece]
+        new = [piece for piece in new if piece not in young]
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+            young[piece] = np.array(found.ids, self.dtype).tobytes()
+
+    def ids(self, pieces: list[bytes]) -> bytes:
+        return b"".join(map(self.young.__getitem__, pieces))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:
@@ -75,28 +87,35 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str
     dtype = "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+
         tokenizer = Tokenizer.from_file(tokenizer_path)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the ids of this vocabulary need more than 16 bits")
-        known = _Words(tokenizer, dtype)
+        known = worker_cache().setdefault(("pieces", tokenizer_path), _Words(dtype))
+        known.tokenizer = tokenizer
         random = np.random.default_rng(11)
         bucket = random.integers(0, FEATURES, 1 << 16)
         sign = random.choice([-1.0, 1.0], 1 << 16)
         directions = random.normal(size=(FEATURES, DIMENSIONS))
         last = np.array([end_id], dtype).tobytes()
-        for batch in batches:
+        for whole, first in ((w, i) for w in batches for i in range(0, w.num_rows, TEXTS)):
+            batch = whole.slice(first, TEXTS)
             blobs, counts, vectors = [], [], []
-            for t in batch[1]:
-                t = t.as_py()
-                ids = b"".join(map(known.__getitem__, t.encode().split())) if t else b""
+            texts = [(t.as_py() or "").encode().split() for t in batch["__text"]]
+            known.learn(texts)
+            for pieces in texts:
+                ids = known.ids(pieces)
                 blobs.append(ids + last)
                 codes = np.frombuffer(ids, dtype)
                 counts.append(len(codes) + 1)
-                # a signed hash of the token counts, damped, brought to unit length and projected
-                seen, n = np.unique(codes, return_counts=True) if len(codes) < 4096 else _counted(codes)
-                v = np.bincount(bucket[seen], np.log1p(n) * sign[seen], FEATURES)
+                # signed counts of hashed tokens, damped, brought to unit length and projected
+                v = np.bincount(bucket[codes], sign[codes], FEATURES)
+                v = np.sign(v) * np.log1p(np.abs(v))
                 vectors.append(v @ directions / max(1e-9, float(np.sqrt(v @ v))))
             points = np.clip((0.5 + np.arctan(np.array(vectors).reshape(-1, DIMENSIONS)) / np.pi) * (1 << BITS), 0, (1 << BITS) - 1)
             yield pa.RecordBatch.from_arrays(
@@ -107,12 +126,6 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str
         run, f"__key {field.dataType.simpleString()}, __curve long, __n long, __ids binary")
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.bincount(codes)
-    seen = np.flatnonzero(n)
-    return seen, n[seen]
-
-
 def pieces_of(start: int, n: int, total: int, length: int) -> list[tuple[int, int, int, int]]:
     """(start in document, length, sequence, offset) of the pieces of n tokens that begin at ``start`` of the whole curve."""
     full = total // length
