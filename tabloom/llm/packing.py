@@ -22,7 +22,7 @@ LENGTH = 4096
 #: Hashed features of a document vector, projected dimensions, and bits of each coordinate of the curve.
 FEATURES, DIMENSIONS, BITS = 1 << 10, 4, 12
 #: Known pieces of each generation; texts tokenised together.
-CACHE_WORDS, TEXTS = 400_000, 256
+CACHE_WORDS, TEXTS = 800_000, 256
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
