@@ -51,12 +51,10 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     The whole text is compressed in pieces of ``chunk_chars`` characters, so that each piece leans on the dictionary
     and not on the text before it; ``und`` for null text and text without a letter. ``score`` is the winner's share when
     languages are weighed by exp(-saved bits); ``accepted`` is false when the winner saves less than ``margin`` of the
-    runner-up's size. Ties go to the first language in order. Rows are judged one by one: repeated rows alike, other
+    runner-up's size. Ties go to the first language in order; without a dictionary every row is ``und``. Rows are judged one by one: repeated rows alike, other
     columns ignored.
     """
     names = sorted(dictionaries)
-    if not names:
-        raise ValueError("no language to choose from")
     shared = {n: dictionaries[n] for n in names}
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"), F.col(f"`{text}`").rlike("\\p{L}").alias("__letters"))
     kept = [f for f in source.schema.fields if f.name in keep]
@@ -71,7 +69,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
         for batch in batches:
             preds, scores, margins = [], [], []
             for t, letters in zip(batch["__text"], batch["__letters"].to_pylist()):
-                if not letters:
+                if not letters or not names:
                     preds.append(UNKNOWN), scores.append(0.0), margins.append(0.0)
                     continue
                 t = t.as_py()
