@@ -25,10 +25,17 @@ def fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, floa
     return out
 
 
+def _nothing(df: DataFrame, schema: str) -> DataFrame:
+    """The empty result for a table none of whose columns can be judged."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def iqr_outliers(df: DataFrame, columns: Sequence[str], min_values: int = MIN_VALUES) -> DataFrame:
     """(column, n, q1, q3, lower, upper, max, n_outliers, pct_outliers); columns with too few values are left out."""
     bounds = fences(df, columns)
     kept = [c for c in columns if c in bounds]
+    if not kept:
+        return _nothing(df, "column string, n long, q1 double, q3 double, lower double, upper double, max double, n_outliers long, pct_outliers double")
     wide = df.agg(*[e.alias(f"{t}{i}") for i, c in enumerate(kept) for t, e in (
         ("n", F.count(col(c))), ("m", F.max(col(c).cast("double"))),
         ("o", F.count_if((col(c) < bounds[c][2]) | (col(c) > bounds[c][3]))))])
@@ -45,6 +52,8 @@ def outlier_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, column, value) of every cell outside its fences, as rows."""
     bounds = fences(df, columns)
     kept = [c for c in columns if c in bounds]
+    if not kept:
+        return df.select(col(key), F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("value")).limit(0)
     cells = [p for c in kept for p in (
         F.lit(c), F.when((col(c) < bounds[c][2]) | (col(c) > bounds[c][3]), col(c).cast("double")))]
     return df.select(col(key), F.stack(F.lit(len(kept)), *cells).alias("column", "value")).where("value IS NOT NULL")
@@ -54,8 +63,10 @@ def mad_outliers(df: DataFrame, columns: Sequence[str], min_values: int = MIN_VA
     """(column, n, median, mad, n_outliers, pct_outliers) by the modified z-score; none where the deviation is 0."""
     middles = median(df, {c: col(c) for c in columns})
     kept = [c for c in columns if middles[c] is not None]
-    spreads = median(df, {c: F.abs(col(c) - F.lit(middles[c])) for c in kept})
+    spreads = median(df, {c: F.abs(col(c) - F.lit(middles[c])) for c in kept}) if kept else {}
     kept = [c for c in kept if spreads[c] > 0]
+    if not kept:
+        return _nothing(df, "column string, n long, median double, mad double, n_outliers long, pct_outliers double")
     wide = df.agg(*[e.alias(f"{t}{i}") for i, c in enumerate(kept) for t, e in (
         ("n", F.count(col(c))),
         ("o", F.count_if(F.abs((col(c) - F.lit(middles[c])) * Z_SCALE / F.lit(spreads[c])) > Z_CUTOFF)))])

@@ -46,11 +46,15 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def result_document(sections: Mapping[str, DataFrame], key: str = "column") -> DataFrame:
-    """One JSON row (section -> key -> statistics). Sections are summary tables with one row per column."""
+    """One JSON row (section -> key -> statistics); a key with several rows in its section has an array of them."""
     parts = []
     for name, table in sections.items():
         body = F.struct(*[col(c) for c in table.columns if c != key])
-        entry = F.struct(col(key).cast("string").alias("key"), F.to_json(body).alias("value")) if key in table.columns else None
+        entry = F.struct("key", "value") if key in table.columns else None
+        if entry is not None:
+            each = table.select(col(key).cast("string").alias("key"), F.to_json(body).alias("value"))
+            several = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("value")), ","), F.lit("]"))
+            table = each.groupBy("key").agg(F.when(F.count("*") == 1, F.min("value")).otherwise(several).alias("value"))
         if entry is None:
             text = F.to_json(F.first(body))
         else:

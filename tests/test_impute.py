@@ -88,7 +88,7 @@ def brute_mice(x, rounds=10, tol=1e-3):
             ma, my = a.mean(axis=0), y.mean()
             coef, b = chained.bayesian_ridge(len(y), ma, my, (a - ma).T @ (a - ma), (a - ma).T @ (y - my), ((y - my) ** 2).sum())
             z[missing[:, j], j] = z[missing[:, j]][:, others] @ coef + b
-        if np.abs(z - old).max() < tol * np.nanmax(np.abs(x)):
+        if np.abs(z - old).sum(axis=1).max() < tol * np.nanmax(np.abs(x)):
             break
     return z
 

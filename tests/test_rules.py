@@ -68,3 +68,21 @@ def test_profile_edges(spark):
     assert got["odd"]["n"] == 1 and got["odd"]["max"] == 1.0 and got["odd"]["std"] is None
     status = {r["column"]: r["status"] for r in profile.constant_columns(df).collect()}
     assert status["same"] == "constant" and status["none"] == "varied"
+
+
+def test_columns_that_cannot_be_judged(spark):
+    from tabloom.operators import outliers
+
+    df = spark.createDataFrame([(i, None, 3.0) for i in range(9)], "id long, empty double, same double")
+    assert outliers.iqr_outliers(df, ["empty"]).collect() == [] and outliers.outlier_rows(df, "id", ["empty"]).collect() == []
+    assert outliers.mad_outliers(df, ["empty", "same"]).collect() == []
+
+
+def test_document_keeps_all_rows_of_a_key(spark):
+    import json
+
+    from tabloom.sources.tables import result_document
+
+    tests = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)], "column string, pair string, p double")
+    doc = json.loads(result_document({"group_tests": tests}).first()[0])["group_tests"]
+    assert [d["p"] for d in doc["a"]] == [1.0, 2.0] and doc["b"]["p"] == 3.0
