@@ -107,7 +107,8 @@ def anchors(codes: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Anch
     low, high = start[np.concatenate(([0], turn))], start[np.concatenate((turn - 1, [len(start) - 1]))]
     anchor = anchor[np.concatenate(([0], turn))]
     context = mix(span_hashes(codes, low, high + length) ^ mix(anchor - low + 1))
-    return Anchors(anchor, low, high, hashes[anchor], context >> np.uint64(16), doc[anchor])
+    # anchors are minima, so their hashes crowd at the low end: mixed once more they fill the ranges evenly
+    return Anchors(anchor, low, high, mix(hashes[anchor]), context >> np.uint64(16), doc[anchor])
 
 
 @dataclass
