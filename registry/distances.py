@@ -11,7 +11,7 @@ from tabloom.operators import cleaning
 from tabloom.operators import compare as cmp
 from tabloom.operators import rules
 from tabloom.operators.cdf import build_axis, two_sample
-from tabloom.operators.histogram import box_statistics, density_histogram, jensen_shannon, qq_table, shared_histogram
+from tabloom.operators.histogram import box_statistics, density_histogram, jensen_shannon, qq_table, shared_bins
 from tabloom.operators.impute import median_impute
 from tabloom.plans.analysis import group_tests
 from tabloom.plans.comparison import compare, wide_distances
@@ -105,16 +105,18 @@ def js_distance(spark, sf):
 
 
 @query("shared_histogram", f"""WITH {histogram_sql(ORDER_LONG)} SELECT 0 AS ci, bin, CAST(sum(CASE WHEN g = 'F' THEN c ELSE 0 END) AS BIGINT) AS n0,
-    CAST(sum(CASE WHEN g = 'O' THEN c ELSE 0 END) AS BIGINT) AS n1, CAST(sum(CASE WHEN g = 'P' THEN c ELSE 0 END) AS BIGINT) AS n2 FROM h GROUP BY bin""")
+    CAST(sum(CASE WHEN g = 'O' THEN c ELSE 0 END) AS BIGINT) AS n1, CAST(sum(CASE WHEN g = 'P' THEN c ELSE 0 END) AS BIGINT) AS n2
+    FROM (SELECT e.bin, g, coalesce(c, 0) AS c FROM (SELECT CAST(range AS INT) AS bin FROM range(0, 49)) e LEFT JOIN h ON h.bin = e.bin) GROUP BY bin""")
 def shared_histogram_query(spark, sf):
-    return shared_histogram(build_axis(table(spark, sf, "orders"), ["o_totalprice"], "o_orderstatus"))
+    return shared_bins(build_axis(table(spark, sf, "orders"), ["o_totalprice"], "o_orderstatus"))
 
 
-@query("density_histogram", f"""WITH l AS ({ORDER_LONG}), s AS (SELECT col, g, min(x) AS lo, max(x) AS hi, count(*) AS size, (max(x) - min(x)) / 20e0 AS step FROM l GROUP BY ALL),
+@query("density_histogram", f"""WITH l AS ({ORDER_LONG}), r AS (SELECT col, g, min(x) AS a, max(x) AS b, count(*) AS size FROM l GROUP BY ALL),
+    w AS (SELECT col, g, size, CASE WHEN a = b THEN a - 0.5e0 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5e0 ELSE b END AS hi FROM r), s AS (SELECT *, (hi - lo) / 20e0 AS step FROM w),
     k AS (SELECT l.col, l.g, x, lo, size, step, floor((x - lo) / step) AS k FROM l JOIN s ON s.col = l.col AND s.g = l.g),
-    m AS (SELECT *, CAST(greatest(0, least(19, k - CASE WHEN x < lo + k * step THEN 1 ELSE 0 END + CASE WHEN x >= lo + (k + 1) * step THEN 1 ELSE 0 END)) AS INT) AS bin FROM k)
-    SELECT col AS "column", g AS label, bin, round(max(lo) + bin * max(step), 6) AS lo, round(max(lo) + (bin + 1) * max(step), 6) AS hi, count(*) AS n,
-    round(count(*) / (max(size) * max(step)), 12) AS density FROM m GROUP BY col, g, bin""")
+    m AS (SELECT *, CAST(greatest(0, least(19, k - CASE WHEN x < lo + k * step THEN 1 ELSE 0 END + CASE WHEN x >= lo + (k + 1) * step THEN 1 ELSE 0 END)) AS INT) AS bin FROM k), c AS (SELECT col, g, bin, count(*) AS n FROM m GROUP BY ALL)
+    SELECT s.col AS "column", s.g AS label, e.bin, round(lo + e.bin * step, 6) AS lo, round(lo + (e.bin + 1) * step, 6) AS hi, coalesce(n, 0) AS n,
+    round(coalesce(n, 0) / (size * step), 12) AS density FROM s CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(0, 20)) e LEFT JOIN c ON c.col = s.col AND c.g = s.g AND c.bin = e.bin""")
 def density_histogram_query(spark, sf):
     return rounded(density_histogram(build_axis(table(spark, sf, "orders"), ["o_totalprice"], "o_orderstatus")), 6, density=12)
 

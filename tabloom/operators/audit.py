@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tabloom.functions.names import col
 from tabloom.operators.duplicates import salted_join
 from tabloom.operators.profile import distinct_counts, missing_summary
+from tabloom.session import cut_lineage
+
+# Up to so many repeated values are broadcast (counted first); beyond, a value's rows are dealt over as many parts as its count asks for.
+BROADCAST_VALUES, ROWS_PER_SALT = 100_000, 100_000
 
 
 def imputed_cells(original: DataFrame, imputed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -43,7 +47,11 @@ def repeated_imputed(original: DataFrame, imputed: DataFrame, key: str, columns:
     """
     cells = imputed_cells(original, imputed, key, columns).where("value IS NOT NULL")
     repeated = cells.groupBy("column", "value").agg(F.count("*").alias("n")).where("n > 1")
-    return salted_join(cells, repeated, ["column", "value"], key)
+    repeated = cut_lineage(repeated)
+    values, most = repeated.agg(F.count("*"), F.max("n")).first()
+    if values <= BROADCAST_VALUES:
+        return cells.join(F.broadcast(repeated), ["column", "value"])
+    return salted_join(cells, repeated, ["column", "value"], key, max(16, -(-most // ROWS_PER_SALT)))
 
 
 def imputation_counts(original: DataFrame, imputed: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tabloom.functions.cells import argmax, softmax
 from tabloom.functions.hashing import uniform
 from tabloom.functions.names import col, strings
 from tabloom.operators.cleaning import replaced
 from tabloom.operators.duplicates import salted_join
+from tabloom.session import consecutive
 
 INLINE_CATEGORIES = 10_000
 
@@ -46,10 +46,7 @@ def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numbered(values: DataFrame, name: str = "idx") -> DataFrame:
     """Position of every row in sorted order; the sort and the numbering both run in parallel."""
-    ordered = values.orderBy(*values.columns)
-    schema = StructType([*ordered.schema.fields, StructField(name, LongType(), False)])
-    rows = ordered.rdd.zipWithIndex().map(lambda pair: Row(*pair[0], pair[1]))
-    return values.sparkSession.createDataFrame(rows, schema)
+    return consecutive(values.orderBy(*values.columns), name)
 
 
 def label_encode(df: DataFrame, column: str, key: str, out: str, unknown: str = "Unknown") -> DataFrame:

@@ -35,6 +35,13 @@ def shared_histogram(axis: Axis, bins: int = DISTANCE_BINS) -> DataFrame:
     return binned.groupBy("ci", "bin").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in range(len(axis.labels))])
 
 
+def shared_bins(axis: Axis, bins: int = DISTANCE_BINS) -> DataFrame:
+    """:func:`shared_histogram` with its empty bins as zeros; a constant column has no range to be divided."""
+    counts = shared_histogram(axis, bins)
+    every = counts.where("bin IS NOT NULL").select("ci").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counts, ["ci", "bin"], "left").fillna(0, [f"n{g}" for g in range(len(axis.labels))])
+
+
 def numbered_jensen_shannon(axis: Axis, against: str | None = None, bins: int = DISTANCE_BINS) -> DataFrame:
     """(ci, ia, ib, js)."""
     shares = shared_histogram(axis, bins)
@@ -59,13 +66,18 @@ def jensen_shannon(axis: Axis, against: str | None = None, bins: int = DISTANCE_
 
 
 def density_histogram(axis: Axis, bins: int = DENSITY_BINS) -> DataFrame:
-    """Density in equal bins over each label's own range: (column, label, bin, lo, hi, n, density), filled bins only."""
+    """Density in equal bins over each label's own range: (column, label, bin, lo, hi, n, density), empty bins as zeros.
+
+    A constant sample gets a range of width 1 around its value.
+    """
     groups = range(len(axis.labels))
     ranges = (
         axis.counts.select("ci", "x", F.stack(F.lit(len(axis.labels)), *[
             p for g in groups for p in (F.lit(g), F.col(f"n{g}"))]).alias("gi", "n")).where("n > 0")
     )
     own = ranges.groupBy("ci", "gi").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("size"))
+    around = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    own = own.select("ci", "gi", (F.col("lo") - around).alias("lo"), (F.col("hi") + around).alias("hi"), "size")
     facts = own.collect()  # one row per column and label
     k = len(axis.labels)
     table = {(r["ci"], r["gi"]): r for r in facts}
@@ -73,11 +85,11 @@ def density_histogram(axis: Axis, bins: int = DENSITY_BINS) -> DataFrame:
     at = F.col("ci") * k + F.col("gi") + 1
     low = F.element_at(doubles(s["lo"] if s else None for s in slots), at)
     high = F.element_at(doubles(s["hi"] if s else None for s in slots), at)
-    size = F.element_at(doubles(s["size"] if s else None for s in slots), at)
-    placed = with_bin(ranges.withColumn("size", size), low, high, bins).where("bin IS NOT NULL")
+    counts = with_bin(ranges, low, high, bins).groupBy("ci", "gi", "bin").agg(F.sum("n").alias("n"))
+    every = ranges.sparkSession.createDataFrame([tuple(r) for r in facts], "ci int, gi int, lo double, hi double, size bigint")
+    every = every.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return (
-        placed.groupBy("ci", "gi", "bin").agg(
-            F.sum("n").alias("n"), F.first("lo").alias("lo"), F.first("step").alias("step"), F.first("size").alias("size"))
+        every.drop("hi").join(counts, ["ci", "gi", "bin"], "left").fillna(0, ["n"])
         .select(axis.column_name().alias("column"), F.element_at(strings(axis.labels), F.col("gi") + 1).alias("label"),
                 "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("lo"),
                 (F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("hi"), "n",

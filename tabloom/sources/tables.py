@@ -6,13 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tabloom.functions.cells import NA_TOKENS
 from tabloom.functions.names import col
 from tabloom.operators.cleaning import mark_missing
 from tabloom.operators.schema import drop_blank_columns
-from tabloom.session import cut_lineage
+from tabloom.session import consecutive
 
 
 def read_dirty_csv(spark: SparkSession, path: str, tokens: Sequence[str] = NA_TOKENS, defaults: bool = True,
@@ -40,9 +39,7 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Consecutive ids in read order, fixed once by writing the table out."""
     if name in df.columns:
         return df
-    schema = StructType([StructField(name, LongType(), False), *df.schema.fields])
-    rows = df.rdd.zipWithIndex().map(lambda pair: (pair[1], *pair[0]))
-    return cut_lineage(df.sparkSession.createDataFrame(rows, schema))
+    return consecutive(df, name).select(col(name), *[col(c) for c in df.columns])
 
 
 def result_document(sections: Mapping[str, DataFrame], key: str = "column") -> DataFrame:
