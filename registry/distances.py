@@ -53,7 +53,26 @@ def ks_wasserstein_bucketed(spark, sf):
     return rounded(two_sample(axis), 6, ks=9)
 
 
-@query("group_pair_tests", f"""WITH {EVENT_GROUPS} SELECT {SHOWN}, left(label_a, 20) || ' vs ' || left(label_b, 20) AS pair FROM d""")
+MONTHS = two_sample_sql(grouped_long("orders", ["o_totalprice"], "strftime(o_orderdate, '%Y-%m')"))
+DAYS = two_sample_sql(grouped_long("lineitem", ["l_quantity", "l_extendedprice"], "strftime(l_shipdate, '%Y-%m-%d')"))
+
+
+@query("ks_wasserstein_by_month", f"WITH {MONTHS} SELECT {SHOWN} FROM d")
+def ks_wasserstein_by_month(spark, sf):
+    """All pairs of some eighty groups."""
+    orders = table(spark, sf, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return rounded(two_sample(build_axis(orders, ["o_totalprice"], "month", rows_per_bucket=2_000)), 6, ks=9)
+
+
+@query("ks_wasserstein_by_day", f"""WITH {DAYS.replace("a.g < b.g", "a.g < b.g AND a.g = (SELECT min(g) FROM long)")} SELECT {SHOWN} FROM d""")
+def ks_wasserstein_by_day(spark, sf):
+    """The first shipping day against each of the others: thousands of groups."""
+    lines = table(spark, sf, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    axis = build_axis(lines, ["l_quantity", "l_extendedprice"], "day", rows_per_bucket=20_000)
+    return rounded(two_sample(axis, axis.labels[0]), 6, ks=9)
+
+
+@query("group_pair_tests",f"""WITH {EVENT_GROUPS} SELECT {SHOWN}, left(label_a, 20) || ' vs ' || left(label_b, 20) AS pair FROM d""")
 def group_pair_tests(spark, sf):
     tests = two_sample(build_axis(table(spark, sf, "events"), ["value"], "event_type"), min_size=3)
     return rounded(tests.withColumn("pair", pair_label(F.col("label_a"), F.col("label_b"))), 6, ks=9)

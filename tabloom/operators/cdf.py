@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,23 +23,35 @@ from tabloom.functions.names import col, doubles, longs, strings
 from tabloom.operators.buckets import bucket_count, cut_points, locate
 
 ROWS_PER_BUCKET = 100_000
-PAIRS_PER_PASS = 48
+#: Pairs compared by expressions of one row; labels found by a search per row; numbers of a task's table.
+PAIRS_IN_ROW, SEARCHED_LABELS, TASK_CELLS = 48, 64, 2_000_000
 MAX_LABELS = 4_096
 BROADCAST_CELLS = 1_000_000
 
 
 @dataclass
 class Axis:
-    """Counts ``n0..`` per label at every distinct value ``x`` of column number ``ci``."""
+    """Labelled values ``x`` of column number ``ci`` in bucket ``b``, and their counts ``n0..`` per label."""
 
     columns: list[str]
     labels: list[str]
     sizes: list[list[int]]
     lows: list[float | None]
     highs: list[float | None]
-    counts: DataFrame
+    values: DataFrame
     bucketed: bool
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """One row per value, one column per label."""
+        return self.values.groupBy("ci", "b", "x").agg(
+            *[F.count_if(F.col("gi") == g + 1).alias(f"n{g}") for g in range(len(self.labels))])
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """One row per value and label (``gi`` from 1): the plan does not grow with the labels."""
+        return self.values.groupBy("ci", "b", "x", "gi").agg(F.count("*").alias("n"))
+
     def size(self, label: int) -> Column:
         """Number of values of a label in the row's column."""
         return F.element_at(longs(row[label] for row in self.sizes), F.col("ci") + 1)
@@ -59,19 +73,22 @@ def stacked(sources: dict[str, DataFrame], columns: Sequence[str], label: str =
 
 
 def build_axis(df: DataFrame, columns: Sequence[str], label: str, labels: Sequence[str] | None = None,
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> Axis:
-    """Collapse ``columns`` of a labelled table; ``labels`` are found in the data when not given (NULL is left out)."""
+               rows_per_bucket: int = ROWS_PER_BUCKET, max_labels: int = MAX_LABELS) -> Axis:
+    """Collapse ``columns`` of a labelled table; ``labels`` are found in the data when not given (NULL is left out).
+
+    Named labels may be any part of the data's. Finding more than ``max_labels`` is an error, as labels and their counts
+    come to the driver: a column with a label per row would bring all of it.
+    """
     columns = list(columns)
     data = df.select(col(label).cast("string").alias("g"),
                      *[finite(col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     keys = [f"c{i}" for i in range(len(columns))]
-    facts = (
-        data.where("g IS NOT NULL").groupBy("g")
-        .agg(*[f(k).alias(f"{t}_{k}") for k in keys for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
-        .limit(MAX_LABELS + 1).collect()
-    )
-    if len(facts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} groups in {label}: it is no group label")
+    known = F.col("g").isNotNull() if labels is None else F.col("g").isin(*[str(v) for v in labels])
+    facts = data.where(known).groupBy("g").agg(
+        *[f(k).alias(f"{t}_{k}") for k in keys for t, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
+    facts = (facts.limit(max_labels + 1) if labels is None else facts).collect()
+    if labels is None and len(facts) > max_labels:
+        raise ValueError(f"more than {max_labels} groups in {label}: name the labels or raise max_labels")
     by_label = {r["g"]: r for r in facts}
     labels = sorted(by_label) if labels is None else [str(v) for v in labels]
 
@@ -86,15 +103,17 @@ def build_axis(df: DataFrame, columns: Sequence[str], label: str, labels: Sequen
 
     buckets = {k: bucket_count(sum(sizes[i]), rows_per_bucket) for i, k in enumerate(keys)}
     cuts = cut_points(chosen, buckets, {k: sum(sizes[i]) for i, k in enumerate(keys)})
-    placed = locate(chosen.withColumn("gi", F.array_position(strings(labels), F.col("g"))),
-                    {f"b{i}": (k, cuts[k]) for i, k in enumerate(keys)})
+    if len(labels) > SEARCHED_LABELS:  # the labels are on the driver already, so the size of their table is known
+        codes = df.sparkSession.createDataFrame([(g, i + 1) for i, g in enumerate(labels)], "g string, gi bigint")
+        coded = chosen.join(F.broadcast(codes), "g")
+    else:
+        coded = chosen.withColumn("gi", F.array_position(strings(labels), F.col("g")))
+    placed = locate(coded, {f"b{i}": (k, cuts[k]) for i, k in enumerate(keys)})
     cells = [piece for i, k in enumerate(keys) for piece in (F.lit(i), F.col(k), F.col(f"b{i}"))]
     # All three conditions are spelled out, so that no consumer infers one of its own and all of them share one shuffle.
     long = placed.select("gi", F.stack(F.lit(len(keys)), *cells).alias("ci", "x", "b")).where(
         "x IS NOT NULL AND ci IS NOT NULL AND b IS NOT NULL")
-    counts = long.groupBy("ci", "b", "x").agg(
-        *[F.count_if(F.col("gi") == g + 1).alias(f"n{g}") for g in range(len(labels))])
-    return Axis(columns, labels, sizes, lows, highs, counts, any(cuts.values()))
+    return Axis(columns, labels, sizes, lows, highs, long, any(cuts.values()))
 
 
 def cumulative(axis: Axis) -> DataFrame:
@@ -137,27 +156,96 @@ def named_pairs(table: DataFrame, axis: Axis) -> DataFrame:
                         F.element_at(names, F.col("ib") + 1).alias("label_b"), *rest)
 
 
-def numbered_two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:
-    """(ci, ia, ib, n_a, n_b, ks, wasserstein)."""
+def numbered_two_sample(axis: Axis, against: str | None = None, min_size: int = 1, pairs_in_row: int = PAIRS_IN_ROW) -> DataFrame:
+    """(ci, ia, ib, n_a, n_b, ks, wasserstein); up to ``pairs_in_row`` pairs are compared by expressions, more by arrays."""
+    k = len(axis.labels)
+    if k < 2:
+        raise ValueError("two labels are needed")
+    if (k - 1 if against is not None else k * (k - 1) // 2) > pairs_in_row:
+        return many_two_sample(axis, against, min_size)
+    pairs = label_pairs(axis, against)
     running = cumulative(axis)
     step = F.coalesce(F.col("next_x") - F.col("x"), F.lit(0.0))
-    pairs = label_pairs(axis, against)
-    if not pairs:
-        raise ValueError("two labels are needed")
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        used = sorted({g for pair in chunk for g in pair})
-        shares = running.select("ci", step.alias("step"), *[
-            (F.col(f"f{g}") / F.nullif(axis.size(g).cast("double"), F.lit(0.0))).alias(f"s{g}") for g in used])
-        gaps = [F.abs(F.col(f"s{a}") - F.col(f"s{b}")) for a, b in chunk]
-        wide = shares.groupBy("ci").agg(*[
-            e.alias(f"{t}{i}") for i, gap in enumerate(gaps)
-            for t, e in (("k", F.max(gap)), ("w", F.sum(gap * F.col("step"))))])
-        cells = [piece for i, (a, b) in enumerate(chunk)
-                 for piece in (F.lit(a), F.lit(b), axis.size(a), axis.size(b), F.col(f"k{i}"), F.col(f"w{i}"))]
-        parts.append(wide.select("ci", F.stack(F.lit(len(chunk)), *cells).alias("ia", "ib", "n_a", "n_b", "ks", "wasserstein")))
-    return reduce(DataFrame.unionByName, parts).where((F.col("n_a") >= min_size) & (F.col("n_b") >= min_size))
+    shares = running.select("ci", step.alias("step"), *[
+        (F.col(f"f{g}") / F.nullif(axis.size(g).cast("double"), F.lit(0.0))).alias(f"s{g}") for g in range(k)])
+    gaps = [F.abs(F.col(f"s{a}") - F.col(f"s{b}")) for a, b in pairs]
+    wide = shares.groupBy("ci").agg(*[
+        e.alias(f"{t}{i}") for i, gap in enumerate(gaps)
+        for t, e in (("k", F.max(gap)), ("w", F.sum(gap * F.col("step"))))])
+    cells = [piece for i, (a, b) in enumerate(pairs)
+             for piece in (F.lit(a), F.lit(b), axis.size(a), axis.size(b), F.col(f"k{i}"), F.col(f"w{i}"))]
+    out = wide.select("ci", F.stack(F.lit(len(pairs)), *cells).alias("ia", "ib", "n_a", "n_b", "ks", "wasserstein"))
+    return out.where((F.col("n_a") >= min_size) & (F.col("n_b") >= min_size))
+
+
+def many_two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:
+    """As ``numbered_two_sample`` with a plan of one size for any number of labels.
+
+    A bucket's counts are laid out as values x labels in one task, a few values at a time, starting from the totals of the
+    buckets before it; a bucket hands on its largest gap and its area for every pair.
+    """
+    k, sizes = len(axis.labels), np.array(axis.sizes, float)
+    reference = None if against is None else axis.labels.index(against)
+
+    def compare(key: tuple, cells: pa.Table, before: pa.Table) -> pa.Table:
+        ci = key[0].as_py()
+        if reference is None:
+            first, second = np.triu_indices(k, 1)
+        else:
+            second = np.delete(np.arange(k), reference)
+            first = np.full(k - 1, reference)
+        size = sizes[ci]
+        use = (size[first] >= max(min_size, 1)) & (size[second] >= max(min_size, 1))
+        first, second = first[use], second[use]
+        order = np.argsort(cells["x"].to_numpy(), kind="stable")
+        x, gi, n = (cells[c].to_numpy()[order] for c in ("x", "gi", "n"))
+        base = np.zeros(k)
+        at, over = before["gi"].to_numpy(), before["n"].to_numpy()
+        base[at[at > 0] - 1] = over[at > 0]
+        after = before["after"][0].as_py() if before.num_rows else None
+        heads = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        points = x[heads]
+        step = np.diff(np.append(points, points[-1] if after is None else after))
+        row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(x))))
+        largest, area = np.zeros(len(first)), np.zeros(len(first))
+        block = max(1, TASK_CELLS // max(k, len(first), 1))
+        for a in range(0, len(points), block):
+            b = min(a + block, len(points))
+            lo, hi = np.searchsorted(row, [a, b])
+            running = np.zeros((b - a, k))
+            running[row[lo:hi] - a, gi[lo:hi] - 1] = n[lo:hi]
+            running[0] += base
+            running = np.cumsum(running, axis=0)
+            base = running[-1]
+            share = running / np.maximum(size, 1)
+            gap = np.abs(share[:, first] - share[:, second])
+            np.maximum(largest, gap.max(axis=0), out=largest)
+            area += step[a:b] @ gap
+        return pa.table({
+            "ci": pa.array(np.full(len(first), ci), pa.int32()), "ia": pa.array(first, pa.int32()), "ib": pa.array(second, pa.int32()),
+            "n_a": pa.array(size[first].astype(np.int64)), "n_b": pa.array(size[second].astype(np.int64)), "k": largest, "w": area})
+
+    starts = bucket_starts(axis).select(F.col("ci").alias("to_ci"), F.col("b").alias("to_b"), "gi", "n", "after")
+    parts = axis.cells.groupBy("ci", "b").cogroup(starts.groupBy("to_ci", "to_b")).applyInArrow(
+        compare, "ci int, ia int, ib int, n_a bigint, n_b bigint, k double, w double")
+    return parts.groupBy("ci", "ia", "ib", "n_a", "n_b").agg(F.max("k").alias("ks"), F.sum("w").alias("wasserstein"))
+
+
+def bucket_starts(axis: Axis) -> DataFrame:
+    """(ci, b, gi, n, after): values of each label in the buckets before, and the next bucket's first value.
+
+    Every bucket has a row per label with values before it, and one row with ``gi`` 0 that is always there.
+    """
+    if not axis.bucketed:
+        return axis.cells.select("ci", "b").distinct().select(
+            "*", F.lit(0).cast("bigint").alias("gi"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("after"))
+    totals = axis.cells.groupBy("ci", "b", "gi").agg(F.sum("n").alias("n"), F.min("x").alias("x"))
+    heads = totals.groupBy("ci", "b").agg(F.min("x").alias("x")).select(
+        "ci", "b", F.lead("x").over(W.partitionBy("ci").orderBy("b")).alias("after"))
+    every = heads.select("ci", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(axis.labels)).cast("bigint"))).alias("gi"), "after")
+    sums = every.join(totals.drop("x"), ["ci", "b", "gi"], "left")
+    before = W.partitionBy("ci", "gi").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    return sums.select("ci", "b", "gi", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), "after").where("gi = 0 OR n > 0")
 
 
 def two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:

@@ -81,6 +81,35 @@ def test_distance_to_self_is_zero(spark):
     assert r["ks"] == 0.0 and r["wasserstein"] == 0.0
 
 
+@pytest.mark.parametrize("per_bucket", [100_000, 200])
+@pytest.mark.parametrize("against", [None, "3"])
+def test_many_labels(spark, per_bucket, against):
+    rng = np.random.default_rng(3)
+    rows = [(str(int(g)), round(float(x), 2), None if g == 5 else float(x > 0)) for g, x in zip(rng.integers(0, 70, 2500), rng.normal(size=2500))]
+    df = spark.createDataFrame(rows, "g string, u double, v double").repartition(4)
+    axis = build_axis(df, ["u", "v"], "g", rows_per_bucket=per_bucket)
+    got = {(r["column"], r["label_a"], r["label_b"]): r for r in two_sample(axis, against, min_size=2).collect()}
+    labels = sorted({r[0] for r in rows})
+    expected = 0
+    for at, name in ((1, "u"), (2, "v")):
+        values = {g: np.array([r[at] for r in rows if r[0] == g and r[at] is not None]) for g in labels}
+        full = [g for g in labels if len(values[g]) >= 2]
+        pairs = [(a, b) for i, a in enumerate(full) for b in full[i + 1:]] if against is None else [(against, b) for b in full if b != against]
+        expected += len(pairs)
+        for a, b in pairs:
+            r = got[name, a, b]
+            assert (r["ks"], r["wasserstein"]) == pytest.approx(brute_ks_w(values[a], values[b]), abs=1e-12)
+            assert (r["n_a"], r["n_b"]) == (len(values[a]), len(values[b]))
+    assert len(got) == expected
+
+
+def test_named_labels_pass_the_bound(spark):
+    df = spark.range(60).selectExpr("cast(id % 20 as string) g", "cast(id as double) v")
+    with pytest.raises(ValueError):
+        build_axis(df, ["v"], "g", max_labels=10)
+    assert two_sample(build_axis(df, ["v"], "g", ["1", "7"], max_labels=10)).count() == 1
+
+
 def test_tiny_labels(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 3.0), ("c", None), (None, 9.0)], "g string, v double")
     axis = build_axis(df, ["v"], "g")
