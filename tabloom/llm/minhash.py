@@ -169,6 +169,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     class. A null key takes no part in the smallest key; a component of null keys alone has a null id, and null-keyed
     rows are kept only there. ``__th`` (xxhash64 of the text) tells rows with equal keys apart.
     """
+    return _labelled(docs, size, percent, bands, rows, text, key).drop("__l")
+
+
+def _labelled(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of :func:`near_duplicates` with ``__l``, the class that names the component: keys may be null or stand in several. Null for empty sets."""
     slim = stored(signatures(docs, size, bands, rows, text, key))
     sets = slim.where("__class IS NOT NULL").groupBy("__class").agg(
         F.min("__key").alias("__least"), F.min("__th").alias("__th"), F.min("__n").alias("__n"), F.min("__bands").alias("__bands"))
@@ -196,11 +201,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         labels = components(edges.unionByName(more))
     groups = sets.join(labels, F.col("__class") == F.col("v"), "left").select("__class", "__least", F.coalesce("label", "__class").alias("__l"))
     least = groups.groupBy("__l").agg(F.min("__least").alias("component_id"))
-    groups = groups.join(least, "__l").select(F.col("__class").alias("__c"), "component_id")
+    groups = groups.join(least, "__l").select(F.col("__class").alias("__c"), "component_id", "__l")
     out = slim.join(groups, F.col("__class") == F.col("__c"), "left")
     own = F.when(F.col("__class").isNull(), F.col("__key")).otherwise(F.col("component_id"))
     return out.select(F.col("__key").alias(key), F.col("__n").alias("n_shingles"), own.alias("component_id"),
-                      F.col("__key").eqNullSafe(own).alias("kept"), "__th")
+                      F.col("__key").eqNullSafe(own).alias("kept"), "__th", "__l")
 
 
 def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
@@ -213,10 +218,13 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text: str) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest key, and one of its repetitions."""
-    kept = near_duplicates(docs, key=key, **how).where("kept").select(F.col(key).alias("__k"), F.col("__th").alias("__m")).distinct()
+    """``docs`` with one row of each group: the one with the smallest key (of several texts the smallest hash), and one of its repetitions."""
+    rows = _labelled(docs, key=key, **how).where("kept").select(F.col(key).alias("__k"), F.col("__th").alias("__m"), "__l")
+    # all kept rows of a group have one key, but a key may be null or stand in several groups
+    one = rows.where("__l IS NOT NULL").groupBy("__l").agg(F.min("__k").alias("__k"), F.min("__m").alias("__m")).drop("__l")
+    kept = one.unionByName(rows.where("__l IS NULL").drop("__l").distinct())
     marked = docs.withColumn("__th", F.xxhash64("text"))
     found = marked.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__m")), "left_semi")
     blank = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\u000b\f\r")) == ""
-    full = found.where(~blank).dropDuplicates([key]).drop("__th")
+    full = found.where(~blank).dropDuplicates([key, "__th"]).drop("__th")
     return full.unionByName(found.where(blank).drop("__th"))

@@ -97,6 +97,17 @@ def test_minhash(spark):
         (k is None, k or 0, t) for k, t in {(7, ROWS[25][1]), (9, "other text " * 40), (12, ODD[-1][1])})
 
 
+def test_minhash_shared_keys(spark):
+    """Unlike texts under a null key or under one id are groups of their own: one row of each stays."""
+    rng = random.Random(11)
+    plain = [" ".join(rng.choice(VOCABULARY) for _ in range(n)) for n in (80, 90, 100, 110, 120, 130)]
+    near = plain[5] + " more"
+    rows = [(None, plain[0]), (None, plain[1]), (None, plain[1]), (7, plain[2]), (7, plain[3]), (7, plain[3]), (8, plain[4]), (None, plain[4]), (9, plain[5]), (9, near), (None, None), (None, "")]
+    kept = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(frame(spark, rows)).collect()]
+    assert len(kept) == 8 and {(None, plain[0]), (None, plain[1]), (7, plain[2]), (7, plain[3]), (8, plain[4]), (None, None), (None, "")} < set(kept)
+    assert sum(k == 9 for k, _ in kept) == 1
+
+
 def test_minhash_large_group(spark):
     """Many near copies of one text, most of them too far from each other: no link is lost in blocks of a hot bucket."""
     base, rows = [RNG.choice(VOCABULARY) for _ in range(120)], []
