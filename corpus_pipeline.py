@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    return only(tiling.drop_leaked(docs, table(spark, sf_dir, "benchmark")), *DOCUMENTS)
+    return only(tiling.drop_leaked(docs, table(spark, sf_dir, "benchmark"), fold=True), *DOCUMENTS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

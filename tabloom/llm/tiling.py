@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import byte_codes, only, span_hashes, text_bytes
@@ -35,6 +35,11 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(byte_codes()[plain], starts, ends), starts
 
 
+def folded(text: Column) -> Column:
+    """Upper-cased by Unicode (so that ß and SS, ς and Σ agree) with spaces for all but letters, marks and digits."""
+    return F.regexp_replace(F.upper(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+
+
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     at = np.arange(max(0, len(codes) - n + 1))
     return span_hashes(codes, at, at + n)
@@ -118,8 +123,9 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame, text: str, key: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
+def blocks(benchmark: DataFrame, text: str, key: str, block_bytes: int, fold: bool) -> Iterator[list[tuple[object, str]]]:
     """The benchmark in blocks of at most ``block_bytes`` of text; one item larger than that is a block of its own."""
+    body = folded(F.col("t")) if fold else F.col("t")
     rows = only(benchmark, *dict.fromkeys((key, text))).select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes))
@@ -130,19 +136,21 @@ def blocks(benchmark: DataFrame, text: str, key: str, block_bytes: int) -> Itera
             break
         n *= 2
     for p in range(n):
-        yield [tuple(r) for r in rows.distinct().where(part == p).collect()]
+        yield [tuple(r) for r in rows.distinct().where(part == p).select("k", body).collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text",
-          seed: int = SEED_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          seed: int = SEED_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, fold: bool = False) -> DataFrame:
     """One row per document and benchmark item whose tiles cover at least ``coverage`` of the item's tokens.
 
     Columns: the two keys, item_tokens, covered_tokens, n_tiles, longest_tile, coverage. Items shorter than ``seed``
     tokens must occur whole; items and documents without tokens (null, empty) match nothing. Repeated documents give
-    repeated rows, repeated items one row each distinct (key, text). Other columns are ignored.
+    repeated rows, repeated items one row each distinct (key, text). Other columns are ignored. With ``fold`` case and
+    punctuation are those of Unicode; without it only ASCII letters change case and every byte above 127 is a letter.
     """
     spark = docs.sparkSession
-    source = only(docs, *dict.fromkeys((key, text))).select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    body = folded(F.col(f"`{text}`")) if fold else F.col(f"`{text}`")
+    source = only(docs, *dict.fromkeys((key, text))).select(F.col(f"`{key}`").alias("__key"), body.alias("__text"))
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     first, second = key, item_key if item_key != key else f"item_{item_key}"
     schema = f"`{first}` {kinds[0]}, `{second}` {kinds[1]}, item_tokens long, covered_tokens long, n_tiles long, longest_tile long, coverage double"
@@ -180,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
         return source.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [scan(block) for block in blocks(benchmark, item_text, item_key, block_bytes)])
+    return reduce(DataFrame.unionByName, [scan(block) for block in blocks(benchmark, item_text, item_key, block_bytes, fold)])
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:

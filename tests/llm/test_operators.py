@@ -193,6 +193,23 @@ def test_tiling(spark):
     assert tiling.leaks(frame(spark, docs), bench.limit(0)).count() == 0 and tiling.leaks(frame(spark, []), bench).count() == 0
 
 
+def test_tiling_unicode(spark, tmp_path):
+    """The registered query and the pipeline find a passage whose case, quotes and dashes were changed, outside ASCII as well."""
+    import corpus_pipeline
+    from tabloom.llm.queries import QUERIES
+
+    item = "el niño pequeño señaló mañana la cigüeña über größere straße où l’été “déjà” fini – même après noël όλος ο κόσμος"
+    other = "ein ganz anderer satz über völlig fremde dinge ohne gemeinsame wörter"
+    docs = [(0, "vor " + item.upper() + " nach"), (1, item.replace("–", ",").replace("“", '"').replace("”", '"')), (2, other), (3, other.upper()), (4, None), (5, item.title())]
+    folder = str(tmp_path)
+    frame(spark, docs).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = {r.doc_id: r.coverage for r in QUERIES["op4_string_tiling"](spark, folder).collect()}
+    assert got == {0: 1.0, 1: 1.0, 5: 1.0}
+    left = corpus_pipeline.decontamination(spark, frame(spark, docs), folder).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == [(k, t or "") for k, t in docs if k in (2, 3, 4)]
+
+
 def test_language(spark):
     letters = "abcdefghilmnorstu"
     vocabularies = {x: ["".join(RNG.choice(letters) for _ in range(RNG.randint(4, 9))) for _ in range(300)] for x in ("aa", "bb", "cc")}
