@@ -113,6 +113,19 @@ def test_forest(spark):
     assert np.corrcoef(got[filled, 0], x[filled, 3])[0, 1] > 0.7
 
 
+def test_forest_query_runs_the_defaults(monkeypatch):
+    """The registered query asks for the operator's own trees, rounds and depth."""
+    from unittest.mock import MagicMock
+
+    from registry import QUERIES, imputing
+
+    asked = MagicMock()
+    monkeypatch.setattr(imputing, "gappy_part", MagicMock())
+    monkeypatch.setattr(chained, "forest_impute", asked)
+    QUERIES["forest_impute"](None, "")
+    assert asked.call_args.kwargs == {} and len(asked.call_args.args) == 3
+
+
 def test_simple_imputers(spark):
     df = spark.createDataFrame([(1, 1.0, "b"), (2, 2.0, "a"), (3, None, None), (4, 4.0, "a"), (5, 9.0, "b")], "id int, `v %` double, g string")
     assert impute.median_impute(df, ["v %"]).where("id = 3").first()["v %"] == 3.0
