@@ -10,6 +10,7 @@ with every other class; only classes that are still apart after that are paired,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ from tabloom.llm.common import byte_codes, lower_ascii, mix, only, span_hashes,
 from tabloom.llm.graph import components
 
 RING_BITS = 20
-BANDS, ROWS = 36, 7
+#: At least so many bands, of at most so many rows; a pair at the threshold meets in no bucket with at most this probability.
+BANDS, ROWS, LOSS = 36, 7, 1e-6
 BLOCK = 256
 #: A block of a bucket holds about so many shingles and classes; blocks are compared two at a time in one task.
 BLOCK_SHINGLES, BLOCK_CLASSES, COLUMNS = 1 << 20, 2048, 4096
@@ -66,6 +68,13 @@ def band_hashes(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for a similarity: the most rows whose bands stay within the loss."""
+    s = min(max(percent, 1), 99) / 100
+    rows = next((r for r in range(ROWS, 0, -1) if (1 - s ** r) ** BANDS <= LOSS), 1)
+    return max(BANDS, math.ceil(math.log(LOSS) / math.log(1 - s ** rows))), rows
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, text: str, key: str) -> DataFrame:
     """(key, text hash, class, number of shingles, band hashes) of every row; equal sets have equal classes, empty ones a null class."""
     kind = docs.schema[key].dataType.simpleString()
@@ -161,7 +170,7 @@ def cross_links(apart: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return dealt.groupBy("__h", "__i", "__j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text: str = "text",
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None, text: str = "text",
                     key: str = "doc_id") -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key linked directly or over others), kept (key = component_id), plus __th.
 
@@ -172,9 +181,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return _labelled(docs, size, percent, bands, rows, text, key).drop("__l")
 
 
-def _labelled(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _labelled(docs: DataFrame, size: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of :func:`near_duplicates` with ``__l``, the class that names the component: keys may be null or stand in several. Null for empty sets."""
-    slim = stored(signatures(docs, size, bands, rows, text, key))
+    slim = stored(signatures(docs, size, bands or banding(percent)[0], rows or banding(percent)[1], text, key))
     sets = slim.where("__class IS NOT NULL").groupBy("__class").agg(
         F.min("__key").alias("__least"), F.min("__th").alias("__th"), F.min("__n").alias("__n"), F.min("__bands").alias("__bands"))
     sets = stored(sets)

@@ -97,6 +97,20 @@ def test_minhash(spark):
         (k is None, k or 0, t) for k, t in {(7, ROWS[25][1]), (9, "other text " * 40), (12, ODD[-1][1])})
 
 
+def test_minhash_banding(spark):
+    """Pairs of similarity 0.8 that meet in none of 36 bands of 7 rows are found at 80 percent."""
+    assert minhash.banding(85) == (36, 7)
+    for percent in (1, 10, 30, 50, 70, 80, 85, 90, 99):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1.01e-6
+    rows = []
+    for i in (2604, 5858, 7266, 15862, 23286):
+        w = [f"w{i * 14 + j}" for j in range(14)]
+        rows += [(2 * i, " ".join(w[:13])), (2 * i + 1, " ".join(w[1:]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 5, 80).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_minhash_shared_keys(spark):
     """Unlike texts under a null key or under one id are groups of their own: one row of each stays."""
     rng = random.Random(11)
