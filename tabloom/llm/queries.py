@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bwt, languages, minhash, packing, pages, quality, sitelines, suffixtrees, tiling, toolcalls
+from tabloom.llm import alignment, bwt, languages, minhash, packing, pages, quality, sitelines, suffixtrees, tiling, toolcalls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:
-    """The vocabulary file; set spark.tabloom.tokenizer where executors keep it elsewhere."""
-    path = spark.conf.get("spark.tabloom.tokenizer", None)
+    """The vocabulary file; set spark.tabloom.tokenizer (for packing) or spark.tabloom.tokenizers (a folder) where executors keep it elsewhere."""
+    path = spark.conf.get("spark.tabloom.tokenizer", None) if name == "word_bpe_49k.json" else None
     if path:
         return path
+    folder = spark.conf.get("spark.tabloom.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -183,3 +186,10 @@ def quality_rules(spark, sf):
 def crf_extraction(spark, sf):
     rows = table(spark, sf, "pages")
     return pages.extract(rows, pages.learn(rows))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark, sf):
+    paths = [tokenizer_path(spark, name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    out = alignment.align(table(spark, sf, "documents"), *paths)
+    return out.select("doc_id", *alignment.SUMS, F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
