@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import alignment, bwt, languages, minhash, packing, pages, quality, sitelines, suffixtrees, tiling, toolcalls
+from tabloom.llm import alignment, bwt, languages, lattice, minhash, packing, pages, pivots, quality, sitelines, suffixtrees, tiling, toolcalls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,38 @@ def token_alignment(spark, sf):
     paths = [tokenizer_path(spark, name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
     out = alignment.align(table(spark, sf, "documents"), *paths)
     return out.select("doc_id", *alignment.SUMS, F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+NEAR_VECTORS_SQL = """WITH RECURSIVE g AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a, g b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+    n AS (SELECT u, count(*) AS n FROM l GROUP BY u), m AS (SELECT u, min(v) AS least FROM r GROUP BY u)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, coalesce(vec_id <= least, true) AS kept
+    FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN m ON m.u = vec_id"""
+
+
+@query("op12_lattice_near_vectors", NEAR_VECTORS_SQL)
+def lattice_near_vectors(spark, sf):
+    return lattice.near_vectors(table(spark, sf, "embeddings"))
+
+
+def clusters_sql(rounds: int = pivots.ROUNDS) -> str:
+    """One assignment and one mean per round, written out."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, e FROM v QUALIFY c < 8)"]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v.e, c, list_sum(list_transform(list_zip(v.e, k.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{i} k
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM a{i}) GROUP BY c, p),
+        m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY p) AS e FROM s{i} GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM c{i} k LEFT JOIN m{i} m ON m.c = k.c)""")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.e, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c"""
+
+
+@query("op13_pivot_clusters", clusters_sql())
+def pivot_clusters(spark, sf):
+    return pivots.cluster(table(spark, sf, "embeddings"))
