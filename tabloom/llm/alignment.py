@@ -5,7 +5,7 @@ common end), closed groups, and an open suffix (tokens behind the last common en
 suffix of one with the prefix of the other and cuts that again, so any tree over the ranges gives the groups of the whole
 text. Texts of one range are complete at once; the ranges of longer ones go to different tasks and are composed pairwise.
 
-Ids lie in blocks of some million tokens. Per block the distinct linked pairs are counted, the counts are summed by Spark
+Ids lie in blocks of about a million tokens. Per block the distinct linked pairs are counted, the counts are summed by Spark
 over all blocks, and every block gets the sums of its own pairs back: neither texts nor ids are shuffled for that.
 """
 
@@ -27,8 +27,8 @@ from tabloom.session import shared_folder
 
 #: A longer text is tokenised and cut in ranges of this size.
 CHUNK_BYTES = 64 << 10
-#: Tokens of both kinds in a block, and rows of it.
-BLOCK_TOKENS, BLOCK_ROWS = 4 << 20, 1 << 15
+#: Tokens of both kinds in a block (a task holds some 150 bytes for each), and rows of it.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 1 << 15
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts tokenised together.
