@@ -115,11 +115,24 @@ def scores_to_percentiles(spark, sf):
     return rounded(z.selectExpr("c_custkey", f"greatest(1e-6, least(1e0 - 1e-6, {cdf_sql('z')})) AS u"), 9)
 
 
-@query("kde_inverse", f"""WITH {KDE}, u AS (SELECT o_orderkey, (o_totalprice - (SELECT min(o_totalprice) FROM orders)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders) AS u FROM orders),
-    c AS (SELECT o_orderkey, greatest(0.001e0, least(0.999e0, u)) AS u FROM u), k AS (SELECT g, cdf, lead(g) OVER (ORDER BY gi) AS g2, lead(cdf) OVER (ORDER BY gi) AS cdf2
-    FROM (SELECT *, cdf - lag(cdf) OVER (ORDER BY gi) AS rise FROM grid_p_retailprice) WHERE rise IS NULL OR rise > 1e-10)
-    SELECT o_orderkey, round(least(greatest(g + (g2 - g) * (u - cdf) / (cdf2 - cdf), (SELECT lo FROM q_p_retailprice)), (SELECT hi FROM q_p_retailprice)), 4) AS value
-    FROM c JOIN k ON k.cdf <= u AND k.cdf2 > u""")
+#: The inverse as SQL: the spline's slopes by elimination along the kept grid points (``f``) and back (``b``), then its cubic on each interval.
+SPLINE = f"""WITH RECURSIVE {KDE}, y AS MATERIALIZED (SELECT row_number() OVER (ORDER BY gi) AS i, count(*) OVER () AS n, g AS x, cdf AS u
+    FROM (SELECT *, cdf - lag(cdf) OVER (ORDER BY gi) AS rise FROM grid_p_retailprice) WHERE rise IS NULL OR rise > 1e-10),
+    h AS MATERIALIZED (SELECT *, lead(u) OVER w - u AS d, (lead(x) OVER w - x) / (lead(u) OVER w - u) AS r FROM y WINDOW w AS (ORDER BY i)),
+    e AS MATERIALIZED (SELECT *, lag(d) OVER w AS d0, lag(r) OVER w AS r0, lead(d) OVER w AS d1, lead(r) OVER w AS r1, lag(d, 2) OVER w AS d00, lag(r, 2) OVER w AS r00 FROM h WINDOW w AS (ORDER BY i)),
+    t AS MATERIALIZED (SELECT i, n, CASE WHEN i = 1 THEN 0e0 WHEN i = n THEN d0 + d00 ELSE d END AS lo, CASE WHEN i = 1 THEN d1 WHEN i = n THEN d00 ELSE 2 * (d0 + d) END AS ma,
+        CASE WHEN i = 1 THEN d + d1 WHEN i = n THEN 0e0 ELSE d0 END AS hi, CASE WHEN i = 1 THEN ((d + 2 * (d + d1)) * d1 * r + d * d * r1) / (d + d1)
+        WHEN i = n THEN ((d0 + 2 * (d0 + d00)) * d00 * r0 + d0 * d0 * r00) / (d0 + d00) ELSE 3 * (d * r0 + d0 * r) END AS ri FROM e),
+    f(i, hi, ma, ri) AS (SELECT i, hi, ma, ri FROM t WHERE i = 1 UNION ALL SELECT t.i, t.hi, t.ma - t.lo / f.ma * f.hi, t.ri - t.lo / f.ma * f.ri FROM f JOIN t ON t.i = f.i + 1),
+    g AS MATERIALIZED (SELECT * FROM f), b(i, s) AS (SELECT i, ri / ma FROM g WHERE i = (SELECT max(i) FROM g) UNION ALL
+        SELECT g.i, (g.ri - g.hi * b.s) / g.ma FROM b JOIN g ON g.i = b.i - 1),
+    k AS MATERIALIZED (SELECT h.i, x, u, u + d AS u2, d, r, b.s, lead(b.s) OVER (ORDER BY h.i) AS s2 FROM h JOIN b ON b.i = h.i),
+    z AS (SELECT o_orderkey, (o_totalprice - (SELECT min(o_totalprice) FROM orders)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders) AS q FROM orders),
+    c AS (SELECT o_orderkey, greatest(0.001e0, least(0.999e0, q)) AS q FROM z),
+    v AS (SELECT o_orderkey, x, s, q - u AS t, (r - s) / d - (s + s2 - 2 * r) / d AS c2, (s + s2 - 2 * r) / d / d AS c3 FROM c JOIN k ON k.u <= q AND k.u2 > q)"""
+
+
+@query("kde_inverse", SPLINE + """ SELECT o_orderkey, round(least(greatest(((c3 * t + c2) * t + s) * t + x, (SELECT lo FROM q_p_retailprice)), (SELECT hi FROM q_p_retailprice)), 4) AS value FROM v""")
 def kde_inverse(spark, sf):
     models = marginal.fit_marginals(part(spark, sf), ["p_retailprice"])
     orders = table(spark, sf, "orders")

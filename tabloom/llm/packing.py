@@ -7,22 +7,26 @@ no padding. Token ids travel as 16-bit numbers (32-bit for larger vocabularies).
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import only, stored, worker_cache
+from tabloom.llm.common import only, stored, text_bytes, worker_cache
 
 END_ID = 2
 LENGTH = 4096
 #: Hashed features of a document vector, projected dimensions, and bits of each coordinate of the curve.
 FEATURES, DIMENSIONS, BITS = 1 << 10, 4, 12
-#: Known pieces of each generation; texts tokenised together.
-CACHE_WORDS, TEXTS = 800_000, 256
+#: Known pieces of each of two generations (some 150 bytes a piece); texts tokenised together.
+CACHE_WORDS, TEXTS = 250_000, 256
+#: White space and the pattern of pieces, as the vocabulary's own file has them.
+RULES = (r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -52,39 +56,77 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-class _Words:
-    """Token ids of white-space separated pieces, as bytes; no token of this tokenizer crosses white space.
+class Words(dict):
+    """Token ids of white-space separated pieces, as bytes. A missing piece is tokenised when it is asked for.
 
-    Two generations of known pieces bound the memory: when the young one is full it becomes the old one.
+    Two generations bound the memory: when this one holds ``CACHE_WORDS`` pieces, :meth:`young` starts another that
+    looks here first. Pieces of plain letters and signs go to the vocabulary's merges directly; the tokenizer's own
+    normalising and splitting, which cost more than the merging, come down to ``lower`` and one pattern for them.
     """
 
-    def __init__(self, dtype):
-        self.tokenizer, self.dtype = None, dtype
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make every piece of these texts known, the new ones in one call of the tokenizer."""
-        if len(self.young) >= CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = set()
-        for pieces in texts:
-            new.update(set(pieces).difference(young))
-        for piece in old.keys() & new:
-            young[piece] = old[piece]
-        new = [piece for piece in new if piece not in young]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            young[piece] = np.array(found.ids, self.dtype).tobytes()
-
-    def ids(self, pieces: list[bytes]) -> bytes:
-        return b"".join(map(self.young.__getitem__, pieces))
+    def __init__(self, tokenizer, dtype: str, old: dict | None = None):
+        super().__init__()
+        self.tokenizer, self.dtype, self.old = tokenizer, dtype, old if old is not None else {}
+        self.merge = tokenizer.model.tokenize
+        self.plain = regex.compile("[!-~À-įı-ɏ]+").fullmatch
+        self.split = regex.compile(RULES[1]).findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [i for i in range(256) if i not in set(shown)]
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.signs = {b: 256 + i for i, b in enumerate(hidden)}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            text = piece.decode()
+            if self.plain(text) and not any(t in text for t in self.added):
+                ids = [t.id for part in self.split(text.lower()) for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(self.signs))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = np.array(ids, self.dtype).tobytes()
+        self[piece] = found
+        return found
+
+    def young(self) -> Words:
+        if len(self) < CACHE_WORDS:
+            return self
+        self.old = {}
+        return Words(self.tokenizer, self.dtype, self)
+
+
+class Whole:
+    """Token ids of whole texts, for tokenizers that do not split and normalise by :data:`RULES`."""
+
+    def __init__(self, tokenizer, dtype: str):
+        self.tokenizer, self.dtype = tokenizer, dtype
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+
+def by_pieces(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases and then splits by :data:`RULES`: no token then crosses white space."""
+    config = json.loads(tokenizer.to_str())
+    normal, split = config["normalizer"] or {}, config["pre_tokenizer"] or {}
+    steps, parts = normal.get("normalizers", []), split.get("pretokenizers", [])
+    added = tokenizer.get_added_tokens_decoder().values()
+    return (not any(t.lstrip or t.rstrip or regex.search(RULES[0], t.content) for t in added) and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": RULES[0]} and steps[1]["content"] == " "
+            and [s["type"] for s in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": RULES[1]} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+            and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"])
+
+
+def id_type(tokenizer_path: str) -> str:
+    """16 or 32 bits an id, as the vocabulary needs."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:
     """(key, curve, n_tokens, ids): a text's token ids with the closing id, and its Hilbert key. Null text is empty."""
     field = docs.schema[key]
-    dtype = "<u2"
+    dtype = id_type(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -92,26 +134,30 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("the ids of this vocabulary need more than 16 bits")
-        known = worker_cache().setdefault(("pieces", tokenizer_path), _Words(dtype))
-        known.tokenizer = tokenizer
+        held, name = worker_cache(), ("pieces", tokenizer_path)
+        if name not in held:
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            held[name] = Words(tokenizer, dtype) if by_pieces(tokenizer) else Whole(tokenizer, dtype)
         random = np.random.default_rng(11)
-        bucket = random.integers(0, FEATURES, 1 << 16)
-        sign = random.choice([-1.0, 1.0], 1 << 16)
+        most = 1 << 16 if dtype == "<u2" else Tokenizer.from_file(tokenizer_path).get_vocab_size()
+        bucket = random.integers(0, FEATURES, most)
+        sign = random.choice([-1.0, 1.0], most)
         directions = random.normal(size=(FEATURES, DIMENSIONS))
         last = np.array([end_id], dtype).tobytes()
         for whole, first in ((w, i) for w in batches for i in range(0, w.num_rows, TEXTS)):
             batch = whole.slice(first, TEXTS)
-            blobs, counts, vectors = [], [], []
-            texts = [(t.as_py() or "").encode().split() for t in batch["__text"]]
-            known.learn(texts)
-            for pieces in texts:
-                ids = known.ids(pieces)
-                blobs.append(ids + last)
-                codes = np.frombuffer(ids, dtype)
+            counts, vectors = [], []
+            data, offsets = text_bytes(batch["__text"])
+            texts = [data[x:y].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            known = held[name]
+            if isinstance(known, dict):
+                of = known.__getitem__
+                blobs = [b"".join(map(of, t.split())) + last for t in texts]
+                held[name] = known.young()
+            else:
+                blobs = [ids + last for ids in known(texts)]
+            for ids in blobs:
+                codes = np.frombuffer(ids, dtype)[:-1]
                 counts.append(len(codes) + 1)
                 # signed counts of hashed tokens, damped, brought to unit length and projected
                 v = np.bincount(bucket[codes], sign[codes], FEATURES)
@@ -155,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
     equal keys are packed each for itself. An empty table gives no pieces. Other columns are ignored. ``with_ids`` adds
     each piece's ids as an array.
     """
-    spark = docs.sparkSession
+    spark, dtype = docs.sparkSession, id_type(tokenizer_path)
     tokens = stored(tokenize(docs, tokenizer_path, text, key, end_id))  # ranges are sampled from a table, texts are tokenised once
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tie = F.xxhash64("__ids")
@@ -188,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
             take, texts = [], []
             columns = [batch[c].to_pylist() for c in ("__begin", "__first", "__total", "__n")]
             for i, (begin, first, total, n) in enumerate(zip(*columns)):
-                ids = np.frombuffer(batch["__ids"][i].as_buffer(), "<u2").astype("<u4")
+                ids = np.frombuffer(batch["__ids"][i].as_buffer(), dtype).astype("<u4")
                 for start, size, seq, offset in pieces_of(begin + first, n, total, length):
                     piece = ids[start: start + size]
                     for to, value in zip(rows, (start, size, zlib.crc32(piece.tobytes()), n, seq, offset)):

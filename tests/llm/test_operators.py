@@ -242,6 +242,25 @@ def test_language(spark):
     assert narrow.where("accepted").count() == 0
 
 
+def test_piece_ids_are_the_tokenizers(spark):
+    """Ids put together from pieces are those of the whole text, and other tokenizers encode whole texts."""
+    from tokenizers import Tokenizer, normalizers
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(spark))
+    assert packing.by_pieces(tokenizer)
+    known = packing.Words(tokenizer, "<u2")
+    pool = [chr(c) for c in range(0x250)] + list("etaoinETAOIN .,'") * 30 + ["'S", "'ll", "<|endoftext|>", " <|startoftext|> ", "\u0301", "İ", "ſ", "ﬁ", "日本", "\u2003", "🙂", "$$$", "№", "K"]
+    for _ in range(3000):
+        text = "".join(RNG.choice(pool) for _ in range(RNG.randint(0, 40)))
+        got = np.frombuffer(b"".join(map(known.__getitem__, text.encode().split())), "<u2").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+    assert len(known) > 3000 and known.young() is known
+    other = Tokenizer.from_file(tokenizer_path(spark))
+    other.normalizer = normalizers.Lowercase()
+    assert not packing.by_pieces(other)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Whole(other, "<u4")([b"One two", b""])] == [other.encode("One two", add_special_tokens=False).ids, []]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
