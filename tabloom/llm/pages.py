@@ -28,7 +28,10 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
     frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript object ol optgroup option p pre search section
     select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas video audio noembed noframes xmp".split())
+RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+#: Elements without article text, with what cannot stand inside them: if that comes before the end tag, the end tag is missing.
+ASIDE = {**dict.fromkeys("button select".split(), "p div h[1-6] article section main ul ol table blockquote header footer nav aside form"),
+         **dict.fromkeys("svg object canvas video audio template".split(), "h[1-6] article section main nav header footer aside form")}
 CLOSES_P = BLOCK - frozenset("body button caption head html label legend option optgroup select title td th tr tbody thead tfoot textarea".split())
 SAME_LEVEL = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",)),
               "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
@@ -119,8 +122,14 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if name in RAW and not attributes.endswith("/"):
             stop = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            at = stop.end() if stop else end  # an HTML parser, too, reads these to the end of the page
             continue
+        if name in ASIDE and not attributes.endswith("/"):
+            stop = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
+            inner = page[at: stop.start()] if stop else ""
+            if stop and not re.search(rf"<(?:{'|'.join(ASIDE[name].split())})\b|</(?:article|main|section|body|html)\b", inner, re.I):
+                at = stop.end()
+            continue  # without an end tag only the tag itself goes
         if name in CLOSES_P and any(s[0] == "p" for s in stack):
             close(("p",), ("table", "button"))
         if name in SAME_LEVEL:
