@@ -8,7 +8,9 @@ no padding. Token ids travel as 16-bit numbers (32-bit for larger vocabularies).
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ END_ID = 2
 LENGTH = 4096
 #: Hashed features of a document vector, projected dimensions, and bits of each coordinate of the curve.
 FEATURES, DIMENSIONS, BITS = 1 << 10, 4, 12
-#: Known pieces of each of two generations (some 150 bytes a piece); texts tokenised together.
-CACHE_WORDS, TEXTS = 250_000, 256
+#: Known pieces, and parts of pieces, in each of two generations (some 150 bytes each); texts tokenised together.
+CACHE_WORDS, CACHE_PARTS, TEXTS = 250_000, 250_000, 256
 #: White space and the pattern of pieces, as the vocabulary's own file has them.
 RULES = (r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -56,42 +58,77 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-class Words(dict):
-    """Token ids of white-space separated pieces, as bytes. A missing piece is tokenised when it is asked for.
+class Generations(dict):
+    """Known values of two generations: when this one is full, :meth:`young` starts another that looks here first."""
 
-    Two generations bound the memory: when this one holds ``CACHE_WORDS`` pieces, :meth:`young` starts another that
-    looks here first. Pieces of plain letters and signs go to the vocabulary's merges directly; the tokenizer's own
-    normalising and splitting, which cost more than the merging, come down to ``lower`` and one pattern for them.
-    """
+    def __init__(self, old: dict, most: int):
+        super().__init__()
+        self.old, self.most = old, most
+
+    def __missing__(self, name: bytes) -> bytes:
+        found = self.old.get(name)
+        if found is None:
+            found = self.made(name)
+        self[name] = found
+        return found
+
+
+class Parts(Generations):
+    """Ids of parts that the pattern does not split further, lower-cased, by the vocabulary's merges."""
 
     def __init__(self, tokenizer, dtype: str, old: dict | None = None):
-        super().__init__()
-        self.tokenizer, self.dtype, self.old = tokenizer, dtype, old if old is not None else {}
-        self.merge = tokenizer.model.tokenize
-        self.plain = regex.compile("[!-~À-įı-ɏ]+").fullmatch
-        self.split = regex.compile(RULES[1]).findall
+        super().__init__({} if old is None else old, CACHE_PARTS)
+        self.tokenizer, self.dtype, self.merge = tokenizer, dtype, tokenizer.model.tokenize
+        self.code = "H" if dtype == "<u2" else "I"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [i for i in range(256) if i not in set(shown)]
-        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.signs = {b: 256 + i for i, b in enumerate(hidden)}
 
-    def __missing__(self, piece: bytes) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            text = piece.decode()
-            if self.plain(text) and not any(t in text for t in self.added):
-                ids = [t.id for part in self.split(text.lower()) for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(self.signs))]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            found = np.array(ids, self.dtype).tobytes()
-        self[piece] = found
-        return found
+    def made(self, part: bytes) -> bytes:
+        text = part.decode() if part.isascii() else part.decode("latin-1").translate(self.signs)
+        return array(self.code, [t.id for t in self.merge(text)]).tobytes()
+
+    def young(self) -> Parts:
+        if len(self) < self.most:
+            return self
+        self.old = {}
+        return Parts(self.tokenizer, self.dtype, self)
+
+
+class Words(Generations):
+    """Token ids of white-space separated pieces, as bytes. A missing piece is tokenised when it is asked for.
+
+    Pieces of plain letters and signs are put together from their parts; the tokenizer's own normalising and splitting,
+    which cost more than the merging, come down to ``lower`` and one pattern for them. All others go through the tokenizer.
+    """
+
+    def __init__(self, tokenizer, dtype: str, old: dict | None = None, parts: Parts | None = None):
+        super().__init__({} if old is None else old, CACHE_WORDS)
+        self.tokenizer, self.dtype = tokenizer, dtype
+        self.parts = Parts(tokenizer, dtype) if parts is None else parts
+        # where case and classes are the same in every library: signs, digits and letters up to U+017F but U+0130
+        self.plain = re.compile("[!-~À-įı-ſ]+").fullmatch
+        self.split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^a-zÀ-ÖØ-öø-ſ0-9]+").findall
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)").search
+
+    def made(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # of bytes: ASCII letters
+            return self.parts[piece.lower()]
+        text = piece.decode()
+        if self.plain(text) and not self.added(text):
+            found = self.split(text.lower())
+            if len(found) == 1:
+                return self.parts[found[0].encode()]
+            return b"".join([self.parts[p.encode()] for p in found])
+        return array(self.parts.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def young(self) -> Words:
-        if len(self) < CACHE_WORDS:
+        self.parts = self.parts.young()
+        if len(self) < self.most:
             return self
         self.old = {}
-        return Words(self.tokenizer, self.dtype, self)
+        return Words(self.tokenizer, self.dtype, self, self.parts)
 
 
 class Whole:
