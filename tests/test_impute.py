@@ -67,6 +67,60 @@ def test_nearest_needs_more_than_its_bucket(spark):
         assert sorted(got[rid]) == want
 
 
+def test_nearest_visits_few_pairs(spark):
+    """The fullest column says nothing and the others come in clusters: the cells reached hold a small part of the pairs."""
+    from tabloom.operators import neighbors
+
+    rng = np.random.default_rng(4)
+    n, centres = 1500, rng.normal(size=(30, 3)) * 100
+    x = np.column_stack([np.ones(n), centres[rng.integers(0, 30, n)] + rng.normal(size=(n, 3))])
+    x[rng.random(n) < 0.2, 1] = np.nan
+    df = frame(spark, x)
+    holes = int(np.isnan(x[:, 1]).sum())
+    found, visits, donors = neighbors.search(df, df, "id", "id", COLUMNS, 5, [F.col("`b.c`").isNull()], [F.col("`b.c`").isNotNull()], block_rows=50)
+    sizes = donors.groupBy("cell").count()
+    assert 25 <= sizes.count() <= 30
+    compared = sum(v.join(sizes, "cell").agg(F.sum("count")).first()[0] for v in visits)
+    assert compared < 0.2 * holes * (n - holes)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["rid"], []).append((r["dist2"], r["did"]))
+    assert len(got) == holes
+    gives = np.flatnonzero(~np.isnan(x[:, 1]))
+    for rid, near in got.items():
+        gap = (x[gives][:, [0, 2, 3]] - x[rid, [0, 2, 3]]) ** 2
+        want = sorted(zip(gap.sum(axis=1) * 4 / 3, gives.tolist()))[:5]
+        assert [d for _, d in sorted(near)] == [d for _, d in want]
+        assert np.allclose([d for d, _ in sorted(near)], [d for d, _ in want])
+
+
+def test_nearest_bounds_hold(spark):
+    """No donor of a cell is closer than the cell's bound, whatever is missing on either side."""
+    from tabloom.operators import neighbors
+
+    x, y = table(n=300, gaps=(0.4, 0.3, 0.2, 0.1)), table(n=200, seed=5, gaps=(0.4, 0.3, 0.2, 0.5))
+    tree = neighbors.grow(x[::3], 12)
+    cell = tree.cells(x)
+    names = np.unique(cell)
+    with np.errstate(all="ignore"):
+        low, high = (np.array([f(x[cell == c], axis=0, initial=v, where=~np.isnan(x[cell == c])) for c in names]) for f, v in ((np.min, np.inf), (np.max, -np.inf)))
+    held = np.array([(~np.isnan(x[cell == c])).mean(axis=0) for c in names])
+    cells = neighbors.Cells(names, low, high, held == 1, held > 0, np.ones((len(names), 1), np.int64))
+    bound, real = cells.bounds(y), neighbors.block_distances(y, x)
+    for at, c in enumerate(names):
+        assert (bound[:, at] <= real[:, cell == c].min(axis=1) * (1 + 1e-12)).all()
+
+
+def test_nearest_without_rows(spark):
+    df = frame(spark, table(n=60))
+    none = df.where("id < 0")
+    for r, d in ((none, df), (df, none), (none, none)):
+        assert nearest(r, d, "id", "id", COLUMNS, 3, [F.lit(True)], [F.lit(True)], block_rows=10).count() == 0
+    odd = spark.createDataFrame([(1, float("nan"), 1.0), (2, float("inf"), 2.0), (3, None, None), (4, 5.0, 4.0)], "id bigint, x double, y double")
+    got = nearest(odd, odd, "id", "id", ["x", "y"], 2, [F.lit(True)], [F.lit(True)]).collect()
+    assert sorted({(r["rid"], r["did"], r["dist2"]) for r in got if r["rid"] in (1, 3)}) == [(1, 1, 0.0), (1, 2, 2.0)]
+
+
 def test_many_targets_in_passes(spark, monkeypatch):
     from tabloom.operators import neighbors
 
