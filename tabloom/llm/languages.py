@@ -9,39 +9,36 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import only
+from tabloom.llm.common import only, stored
 
 UNKNOWN = "und"
+SLICES = 64
 
 
-def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 400, chars_per_text: int = 2000,
-                       dictionary_bytes: int = 16 * 1024, languages: int = 256) -> dict[str, bytes]:
-    """A dictionary per language from a bounded sample: the texts of smallest hash, each language's words in ascending frequency.
+def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 400,
+                       dictionary_bytes: int = 16 * 1024) -> dict[str, bytes]:
+    """A dictionary per language from a bounded sample: the whole texts of smallest hash, each language's words in ascending frequency.
 
-    At most ``languages`` languages x ``docs_per_language`` texts x ``chars_per_text`` characters reach the driver; more
-    languages raise. Rows without text or language teach nothing; copies of a text are taken once.
+    The bound is ``docs_per_language`` rows a language; hashes of distinct texts alone are ranked, and each language's
+    words are counted by Spark, so only the dictionaries (``dictionary_bytes`` a language) reach the driver. Rows without
+    text, letter or language teach nothing; copies of a text are taken once. Any number of languages is learned.
     """
-    pool = only(docs, text, lang).where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
-    pool = pool.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.substring(F.col(f"`{text}`"), 1, chars_per_text).alias("t"))
-    pool = pool.where(F.col("t").rlike("\\p{L}"))
-    first = pool.withColumn("r", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_language)
-    # copies in one language share their hash, so a rank may have many rows: group them before anything is gathered
-    rows = first.groupBy("lang", "r").agg(F.min("t").alias("t")).orderBy("lang", "r").limit(languages * docs_per_language + 1).collect()
-    if len({r.lang for r in rows}) > languages or len(rows) > languages * docs_per_language:
-        raise ValueError(f"more than {languages} languages")
-    texts: dict[str, list[str]] = {}
-    for r in rows:
-        texts.setdefault(r.lang, []).append(r.t)
-    return {name: _dictionary(some, dictionary_bytes) for name, some in sorted(texts.items())}
-
-
-def _dictionary(texts: list[str], size: int) -> bytes:
-    """The sample's words in ascending frequency, as many of the last ones as fit: near offsets are the cheapest to refer to."""
-    counts: dict[str, int] = {}
-    for t in texts:
-        for w in t.split():
-            counts[w] = counts.get(w, 0) + 1
-    return " ".join(sorted(counts, key=lambda w: (counts[w], w))).encode()[-size:]
+    pool = only(docs, text, lang).where(F.col(f"`{text}`").rlike("\\p{L}") & F.col(f"`{lang}`").isNotNull())
+    pool = pool.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"))
+    # the smallest hashes of every slice of a language first: a language with a third of all rows is no single task
+    seen = pool.select("lang", "h").distinct().withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    few = seen.withColumn("r", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h"))).where(F.col("r") <= docs_per_language)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_language)
+    few = stored(few.select("lang", "h"))  # a table of known size: Spark broadcasts it while it is small
+    chosen = pool.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    counts = chosen.select("lang", F.explode(F.split("t", r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    # bytes of the words that stand nearer to the end: those that begin within the dictionary's size are kept
+    after = Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    near = counts.withColumn("after", F.coalesce(F.sum(F.octet_length("w") + 1).over(after), F.lit(0))).where(F.col("after") < dictionary_bytes)
+    words: dict[str, list[tuple[int, str]]] = {}
+    for r in near.select("lang", "n", F.expr(f"right(w, {dictionary_bytes})").alias("w")).collect():
+        words.setdefault(r.lang, []).append((r.n, r.w))
+    return {name: " ".join(w for _, w in sorted(some)).encode()[-dictionary_bytes:] for name, some in sorted(words.items())}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_chars: int = 1024,

@@ -87,7 +87,7 @@ def string_tiling(spark, sf):
 
 @query("op5_zstd_language")
 def zstd_language(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    docs = table(spark, sf, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
     known = languages.learn_dictionaries(docs.where(~F.col("held_out")))
     return languages.classify(docs, known, keep=("doc_id", "held_out"))
 

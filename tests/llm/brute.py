@@ -4,6 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import regex
+import xxhash
+import zstandard
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,9 +97,11 @@ def boilerplate(rows, sites):
     return [None if t is None else "\n".join(x for x in t.split("\n") if not bare(x) or len(where[bare(x)]) < sites) for t, _ in rows]
 
 
-def tiled(doc, item, seed):
+def tiled(doc, item, seed, fold=False):
     """Tokens of the item covered by greedy string tiling, straight from the definition."""
-    a, b = ([x for x in re.split(r"[\x00-/:-@\[-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x] for t in (doc, item))
+    plain = lambda t: re.split(r"[\x00-/:-@\[-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wide = lambda t: regex.split(r"[^\p{L}\p{M}\p{N}]+", (t or "").upper())
+    a, b = ([x for x in (wide if fold else plain)(t) if x] for t in (doc, item))
     least = min(seed, len(b))
     mine, theirs, covered = [False] * len(a), [False] * len(b), 0
     while b:
@@ -115,5 +121,32 @@ def tiled(doc, item, seed):
     return covered, len(b)
 
 
+def dictionaries(rows, most, size):
+    """lang -> dictionary from rows (text, lang): whole texts of smallest signed hash."""
+    texts = defaultdict(set)
+    for t, lang in rows:
+        if t and lang is not None and regex.search(r"\p{L}", t):
+            texts[lang].add(t)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    out = {}
+    for lang, some in texts.items():
+        n = Counter(w for t in sorted(some, key=signed)[:most] for w in t.split())
+        out[lang] = " ".join(sorted(n, key=lambda w: (n[w], w))).encode()[-size:]
+    return out
+
+
+def language(text, known, piece=1024, level=6):
+    """(language, its compressed size) by a plain loop; the first of equals."""
+    if not text or not known or not regex.search(r"\p{L}", text):
+        return "und", 0
+    sizes = {}
+    for lang in sorted(known):
+        d = zstandard.ZstdCompressionDict(known[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tool = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes[lang] = sum(len(tool.compress(text[i:i + piece].encode())) for i in range(0, len(text), piece))
+    best = min(sizes, key=sizes.get)
+    return best, sizes[best]
+
+
 def sha(data):
     return hashlib.sha256(data).hexdigest()
