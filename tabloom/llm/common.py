@@ -34,6 +34,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def packed(df: DataFrame, **names: str) -> DataFrame:
+    """Whole rows as the struct ``row``, and the columns an operator reads under its own names: no other name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in names.items()])
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import byte_codes, lower_ascii, mix, only, span_hashes, stored, text_bytes, word_spans
+from tabloom.llm.common import byte_codes, lower_ascii, mix, only, packed, span_hashes, stored, text_bytes, word_spans
 from tabloom.llm.graph import components
 
 RING_BITS = 20
@@ -226,14 +226,17 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, text: str) -> Dat
     return stored(found)
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest key (of several texts the smallest hash), and one of its repetitions."""
-    rows = _labelled(docs, key=key, **how).where("kept").select(F.col(key).alias("__k"), F.col("__th").alias("__m"), "__l")
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest key (of several texts the smallest hash), and one of its repetitions.
+
+    Null and blank texts are near to nothing and all stay; keys may be null or repeated; all columns are kept, whatever their names.
+    """
+    rows = _labelled(docs, key=key, text=text, **how).where("kept").select(F.col(f"`{key}`").alias("k"), F.col("__th").alias("m"), F.col("__l").alias("l"))
     # all kept rows of a group have one key, but a key may be null or stand in several groups
-    one = rows.where("__l IS NOT NULL").groupBy("__l").agg(F.min("__k").alias("__k"), F.min("__m").alias("__m")).drop("__l")
-    kept = one.unionByName(rows.where("__l IS NULL").drop("__l").distinct())
-    marked = docs.withColumn("__th", F.xxhash64("text"))
-    found = marked.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__m")), "left_semi")
-    blank = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\u000b\f\r")) == ""
-    full = found.where(~blank).dropDuplicates([key, "__th"]).drop("__th")
-    return full.unionByName(found.where(blank).drop("__th"))
+    one = rows.where("l IS NOT NULL").groupBy("l").agg(F.min("k").alias("k"), F.min("m").alias("m")).drop("l")
+    kept = one.unionByName(rows.where("l IS NULL").drop("l").distinct()).select(F.col("k").alias("kept_k"), F.col("m").alias("kept_m"))
+    marked = packed(docs, k=key, t=text).withColumn("h", F.xxhash64("t"))
+    found = marked.join(kept, F.col("k").eqNullSafe(F.col("kept_k")) & (F.col("h") == F.col("kept_m")), "left_semi")
+    blank = F.btrim(F.coalesce(F.col("t"), F.lit("")), F.lit(" \t\n\u000b\f\r")) == ""
+    full = found.where(~blank).dropDuplicates(["k", "h"])
+    return full.unionByName(found.where(blank)).select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import WHITE, only, stored, words
+from tabloom.llm.common import WHITE, only, packed, stored, words
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("symbol_share", "word_length", "dup_line_share")
@@ -100,7 +100,7 @@ def quality_rules(docs: DataFrame, text: str = "text", groups: tuple[str, str] =
     return out.withColumn("kept", ~F.col("base_failed") & ~over)
 
 
-def drop_rejected(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[F.col(c) for c in ("text", "lang", "source")])
-    return quality_rules(packed, keep=("__row",), **how).where("kept").select("__row.*")
+def drop_rejected(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source"), **how) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names; nulls as in :func:`quality_rules`."""
+    rows = packed(docs, t=text, a=groups[0], b=groups[1])
+    return quality_rules(rows, text="t", groups=("a", "b"), keep=("row",), **how).where("kept").select("row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import byte_codes, only, span_hashes, text_bytes
+from tabloom.llm.common import byte_codes, only, packed, span_hashes, text_bytes
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -191,9 +191,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     return reduce(DataFrame.unionByName, [scan(block) for block in blocks(benchmark, item_text, item_key, block_bytes, fold)])
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that :func:`leaks` names; rows with equal keys are told apart by their text."""
-    marked = docs.withColumn("__mark", F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64("text").alias("h")))
-    bad = leaks(marked, benchmark, key="__mark", **how).select(F.col("__mark.k").alias("__k"), F.col("__mark.h").alias("__h")).distinct()
-    on = F.col("__mark.k").eqNullSafe(F.col("__k")) & F.col("__mark.h").eqNullSafe(F.col("__h"))
-    return marked.join(bad, on, "left_anti").drop("__mark")
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents that :func:`leaks` names; rows with equal keys are told apart by their text.
+
+    Null keys and texts are values like others; repeated rows go or stay together; all columns are kept, whatever their names.
+    """
+    rows = packed(docs, k=key, t=text).withColumn("m", F.struct("k", F.xxhash64("t").alias("h")))
+    bad = leaks(rows.select("m", "t"), benchmark, text="t", key="m", **how).select(F.col("m.k").alias("bad_k"), F.col("m.h").alias("bad_h")).distinct()
+    on = F.col("m.k").eqNullSafe(F.col("bad_k")) & F.col("m.h").eqNullSafe(F.col("bad_h"))
+    return rows.join(bad, on, "left_anti").select("row.*")
