@@ -9,7 +9,7 @@ from tabloom.functions.names import col
 from tabloom.operators import cleaning, duplicates, encode, impute, profile, rules, schema
 from tabloom.plans.preprocess import preprocess
 from tabloom.session import shared_folder
-from tabloom.sources.tables import read_dirty_csv, write_csv
+from tabloom.sources.tables import read_dirty_csv, result_document, write_csv
 
 TOKENS = ", ".join("'" + t + "'" for t in sorted(set(NA_TOKENS) | set(DEFAULT_NA_TOKENS)))
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -356,3 +356,47 @@ def preprocess_query(spark, sf):
 def validity_rules(spark, sf):
     return rules.validity(extreme_events(spark, sf), {
         "share within 100": col("share %") <= 100, "reading below ten times value": F.col("reading") <= F.col("value") * 10})
+
+
+SOME = ["seventh", "p_partkey", "retail %"]
+
+
+@query("configured_columns", f'{MARKED} SELECT p_partkey, "seventh", "retail %" FROM marked')
+def configured_columns(spark, sf):
+    """A configured list in its own order; names that the table does not have are left out."""
+    df = marked_part(spark, sf)
+    return schema.in_order(df, schema.existing(df, [*SOME, "absent"]))
+
+
+@query("first_feature_columns", f'{MARKED} SELECT "retail %", "size %", "rare" FROM marked')
+def first_feature_columns(spark, sf):
+    """The first three columns that are no ids."""
+    df = marked_part(spark, sf)
+    return schema.in_order(df, schema.first_columns(schema.all_except(df, ["p_partkey"]), 3))
+
+
+TYPED = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+
+
+@query("column_types", f"""WITH n AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count({c}) AS filled FROM orders" for c in TYPED)})
+    SELECT CAST(column_index - 1 AS INT) AS "position", column_name AS "column",
+    CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS type, filled
+    FROM duckdb_columns() JOIN n ON n.c = column_name WHERE table_name = 'orders'""")
+def column_types(spark, sf):
+    df = table(spark, sf, "orders")
+    filled = schema.parse_counts(df, TYPED).select("column", "filled")
+    return schema.column_types(df).join(filled, "column").select("position", "column", "type", "filled")
+
+
+@query("result_document", """WITH p AS (SELECT o_orderpriority AS k, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY k),
+    s AS (SELECT o_orderstatus AS k, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY k, priority),
+    sk AS (SELECT k, '[' || string_agg('{"priority":"' || priority || '","n":' || n || '}', ',' ORDER BY '{"priority":"' || priority || '","n":' || n || '}') || ']' AS body FROM s GROUP BY k)
+    SELECT '{"priorities":{' || (SELECT string_agg('"' || k || '":{"n":' || n || ',"customers":' || customers || '}', ',' ORDER BY k) FROM p)
+    || '},"statuses":{' || (SELECT string_agg('"' || k || '":' || body, ',' ORDER BY k) FROM sk) || '},"table":{"n":' || (SELECT count(*) FROM orders) || '}}' AS document""")
+def result_document_query(spark, sf):
+    """Sections with one row per key, with several rows per key, and without a key."""
+    df = table(spark, sf, "orders")
+    return result_document({
+        "priorities": df.groupBy(F.col("o_orderpriority").alias("column")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers")),
+        "statuses": df.groupBy(F.col("o_orderstatus").alias("column"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n")),
+        "table": df.agg(F.count("*").alias("n"))})

@@ -8,7 +8,7 @@ from registry import query, rounded, table, view_sql
 from registry.cleaning import EVENTS, extreme_events, gappy_part
 from registry.inputs import EXTREMES, GAPPY_PART, GAPS
 from tabloom.functions.names import col
-from tabloom.functions.normal import ppf_sql
+from tabloom.functions.normal import cdf_sql, ppf_sql
 from tabloom.operators import correlation as corr
 from tabloom.operators import normality, outliers, profile, rules
 from tabloom.operators.quantiles import exact_quantiles
@@ -214,11 +214,38 @@ def shapiro(spark, sf):
     return rounded(tests.select("column", "n", "w", (F.col("p_value") < 0.05).alias("non_normal")))
 
 
-@query("shapiro_p_values")
+SHAPIRO_PARTS = [("customer", ["c_acctbal"]), ("part", ["p_size", "p_retailprice"]), ("supplier", ["s_acctbal"]),
+                 ("nation", ["n_nationkey"]), ("region", ["r_regionkey"])]
+
+
+def shapiro_p_sql():
+    """All branches of the statistic and of its p-value: 3 values, 4 and 5, up to 11, and more."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM {t} WHERE {c} IS NOT NULL" for t, cs in SHAPIRO_PARTS for c in cs)
+    outer = "0.221157 * u - 0.147981 * power(u, 2) - 2.07119 * power(u, 3) + 4.434685 * power(u, 4) - 2.706056 * power(u, 5)"
+    second = "0.042981 * u - 0.293762 * power(u, 2) - 1.752461 * power(u, 3) + 5.682633 * power(u, 4) - 3.582633 * power(u, 5)"
+    return f"""WITH l AS ({long}), s AS (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY x) AS r, count(*) OVER (PARTITION BY col) AS n FROM l),
+        p AS (SELECT *, (r - 0.375e0) / (n + 0.25e0) AS p FROM s WHERE n BETWEEN 3 AND 4999), m AS (SELECT *, {ppf_sql("p")} AS m FROM p),
+        t AS (SELECT col, n, sum(m * m) AS mm, max(m) AS mn, max(CASE WHEN r = n - 1 THEN m END) AS mn1, 1 / sqrt(n) AS u, var_pop(x) * n AS ss
+            FROM m GROUP BY col, n),
+        w AS (SELECT *, {outer} + mn / sqrt(mm) AS an, {second} + mn1 / sqrt(mm) AS an1 FROM t WHERE ss > 0),
+        f AS (SELECT *, CASE WHEN n <= 5 THEN sqrt(abs((mm - 2 * mn * mn) / (1 - 2 * an * an)))
+            ELSE sqrt(abs((mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1))) END AS scale FROM w),
+        g AS (SELECT m.col, m.n, x, ss, CASE WHEN m.n = 3 THEN sqrt(0.5e0) * (r - 2) WHEN r = 1 THEN -an WHEN r = m.n THEN an
+            WHEN m.n > 5 AND r = 2 THEN -an1 WHEN m.n > 5 AND r = m.n - 1 THEN an1 ELSE m / scale END AS weight FROM m JOIN f ON f.col = m.col),
+        stat AS (SELECT col, n, power(sum(x * weight), 2) / max(ss) AS w FROM g GROUP BY col, n),
+        z AS (SELECT *, CASE WHEN n = 3 THEN 0e0 WHEN n <= 11 THEN CASE WHEN ln(1 - w) >= 0.459e0 * n - 2.273e0 THEN 40e0
+            ELSE (-ln(0.459e0 * n - 2.273e0 - ln(1 - w)) - (0.544e0 - 0.39978e0 * n + 0.025054e0 * n * n - 0.0006714e0 * n * n * n))
+                / exp(1.3822e0 - 0.77857e0 * n + 0.062767e0 * n * n - 0.0020322e0 * n * n * n) END
+            ELSE (ln(1 - w) - (0.0038915 * power(ln(n), 3) - 0.083751 * power(ln(n), 2) - 0.31082 * ln(n) - 1.5861))
+                / exp(0.0030302 * power(ln(n), 2) - 0.082676 * ln(n) - 0.4803) END AS z FROM stat)
+        SELECT col AS "column", n, round(w, 6) AS w, round(CASE WHEN n = 3 THEN CASE WHEN w <= 0.75 THEN 0e0 ELSE 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75e0))) END
+            ELSE {cdf_sql("(-z)")} END, 6) AS p_value FROM z"""
+
+
+@query("shapiro_p_values", shapiro_p_sql())
 def shapiro_p_values(spark, sf):
-    parts = [("customer", ["c_acctbal"]), ("part", ["p_size", "p_retailprice"]), ("supplier", ["s_acctbal"])]
     out = None
-    for name, columns in parts:
+    for name, columns in SHAPIRO_PARTS:
         one = normality.shapiro(table(spark, sf, name), columns)
         out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(out)

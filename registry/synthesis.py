@@ -4,10 +4,10 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from registry import query, rounded, table
+from registry import query, rounded, table, view, view_sql
 from tabloom.functions.cells import argmax, softmax
 from tabloom.functions.normal import cdf_sql, ppf_sql
-from tabloom.operators import copula, encode, marginal
+from tabloom.operators import copula, encode, marginal, sparse
 from tabloom.operators.compare import category_coverage, moments_side_by_side
 from tabloom.plans.synthesis import learn
 from tabloom.session import shared_folder
@@ -48,6 +48,43 @@ def one_hot_width(spark, sf):
     return spark.createDataFrame([(model.width(),)], "width bigint")
 
 
+# An encoding with as many categories as rows: customers, totals in cents, priorities.
+WIDE = {"o_orderkey": "o_orderkey", "customer": "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END",
+        "cents": "CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING)", "priority": "o_orderpriority"}
+WIDE_SQL = f"""WITH o AS ({view_sql("orders", WIDE)}), l AS ({" UNION ALL ".join(
+    f"SELECT o_orderkey, {i} AS ci, '{c}' AS \"column\", {c} AS category FROM o" for i, c in enumerate(list(WIDE)[1:]))}),
+    d AS (SELECT ci, category, CAST(row_number() OVER (ORDER BY ci, category) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT ci, category FROM l WHERE category IS NOT NULL)),
+    firsts AS (SELECT ci, min(place) AS place FROM d GROUP BY ci),
+    e AS (SELECT l.o_orderkey, l.ci, l."column", coalesce(d.place, firsts.place) AS place FROM l JOIN firsts ON firsts.ci = l.ci
+        LEFT JOIN d ON d.ci = l.ci AND d.category = l.category)"""
+
+
+def wide_orders(spark, sf):
+    return view(table(spark, sf, "orders"), WIDE)
+
+
+@query("one_hot_sparse", f'{WIDE_SQL} SELECT o_orderkey, "column", place FROM e')
+def one_hot_sparse(spark, sf):
+    df = wide_orders(spark, sf)
+    return sparse.fit_sparse(df, list(WIDE)[1:]).transform(df, "o_orderkey")
+
+
+@query("one_hot_sparse_decoded", f'{WIDE_SQL} SELECT e.o_orderkey, e."column", d.category FROM e JOIN d ON d.place = e.place')
+def one_hot_sparse_decoded(spark, sf):
+    df = wide_orders(spark, sf)
+    fitted = sparse.fit_sparse(df, list(WIDE)[1:])
+    return fitted.inverse(fitted.transform(df, "o_orderkey"), "o_orderkey")
+
+
+@query("one_hot_sparse_correlation", f"""{WIDE_SQL}, c AS (SELECT place, CAST(count(*) AS DOUBLE) AS k, (SELECT CAST(count(*) AS DOUBLE) FROM o) AS n FROM e GROUP BY place),
+    b AS (SELECT x.place AS a, y.place AS b, count(*) AS n_both FROM e x JOIN e y ON x.o_orderkey = y.o_orderkey AND x.place < y.place GROUP BY x.place, y.place)
+    SELECT a, b, n_both, round((ca.n * n_both - ca.k * cb.k) / (sqrt(ca.k * (ca.n - ca.k)) * sqrt(cb.k * (cb.n - cb.k))), 6) AS corr
+    FROM b JOIN c ca ON ca.place = a JOIN c cb ON cb.place = b""")
+def one_hot_sparse_correlation(spark, sf):
+    df = wide_orders(spark, sf)
+    return rounded(sparse.indicator_correlation(sparse.fit_sparse(df, list(WIDE)[1:]).transform(df, "o_orderkey"), "o_orderkey"))
+
+
 @query("softmax_argmax", """WITH v AS (SELECT event_id, [value / 100, event_id % 7 / 3e0, (event_id % 11) / 4e0] AS v FROM events),
     e AS (SELECT event_id, v, [exp(x - list_max(v)) FOR x IN v] AS e FROM v) SELECT event_id, round(e[1] / list_sum(e), 9) AS p1, round(e[2] / list_sum(e), 9) AS p2,
     CAST(list_position(v, list_max(v)) - 1 AS INT) AS best FROM e""")

@@ -148,7 +148,7 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = INL
         table[r["column"]].append(r["category"])
     for c, vs in table.items():
         if len(vs) > max_categories:
-            raise ValueError(f"{c} has more than {max_categories} categories")
+            raise ValueError(f"{c} has more than {max_categories} categories; sparse.fit_sparse takes any number")
         vs.sort()
     return OneHot(table)
 
