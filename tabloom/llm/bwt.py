@@ -34,7 +34,7 @@ class Collection:
         self.ends = np.cumsum(self.sizes)
         self.before = np.zeros(self.m, self.flat.dtype)
         self.doc = np.arange(self.m, dtype=np.int32)
-        self.length = np.zeros(self.m, np.int16)
+        self.length = np.zeros(self.m, np.int16 if self.sizes.max() < 1 << 15 else np.int32)
         self.shared = np.zeros(self.m, bool)
         self.place = np.arange(self.m)
 

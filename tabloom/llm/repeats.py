@@ -35,6 +35,8 @@ BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 1 << 15
 #: Expected anchors in one hash range: what one answering task holds.
 RANGE_ANCHORS = 1 << 20
+#: Windows one anchor may stand for: bits of a signed 64-bit mask without its sign.
+MASK_BITS = 63
 #: Symbols of contexts that one kernel task takes, and the most that one anchor (or prefix) may bring to it.
 BIN_BYTES, HOT_BYTES = 4 << 20, 32 << 20
 STEP_BITS = 21
@@ -253,6 +255,8 @@ class Repeats:
     """The exchange over one table of documents; ``read`` turns a block into symbols."""
 
     def __init__(self, docs: DataFrame, text: str, key: str, read: Callable, length: int, gram: int, ordered: bool):
+        # a mask of 64 bits holds the windows of one anchor, so the anchors of longer windows grow with them
+        gram = max(gram, length - MASK_BITS + 1)
         self.read, self.length, self.gram, self.ordered = read, length, gram, ordered
         self.key = StructField(key, docs.schema[key].dataType)
         self.blocks = make_blocks(docs, text, key)
@@ -330,7 +334,7 @@ class Repeats:
     def removed(self, masks: DataFrame, finish: Callable[[Block, np.ndarray], list[pa.Array]], columns: StructType) -> DataFrame:
         """What ``finish`` makes of every block and its removed symbols; ``masks`` has (block, at, mask) from the kernel,
         bit o of a mask standing for the window that begins o symbols before the anchor."""
-        me, length, ordered = self._task_side(), self.length, self.ordered
+        me, length, gram, ordered = self._task_side(), self.length, self.gram, self.ordered
         names = [f.name for f in columns.fields]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +357,7 @@ class Repeats:
                     every = mask_of[kinds.of]
                     if ordered:
                         every = np.where(block.order[found.doc] == kinds.order[kinds.of], every, 0)
-                    for o in range(length):
+                    for o in range(length - gram + 1):
                         begin = found.at[(every >> o) & 1 == 1] - o
                         np.add.at(edge, begin, 1)
                         np.add.at(edge, begin + length, -1)
