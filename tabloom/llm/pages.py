@@ -344,11 +344,13 @@ def rebuilt(blocks: list[Leaf], labels: list[int], rng: random.Random) -> tuple[
 
 
 def learn(pages: DataFrame, page: str = "html", sample: int = LABELLED, chars: int = LABELLED_CHARS, layouts: int = LAYOUTS) -> Model:
-    """A model from the ``sample`` pages of smallest hash that hold a semantic element for the main text; none: layouts of plain paragraphs."""
+    """A model from the ``sample`` different pages of smallest hash that hold a semantic element for the main text; none: layouts of plain paragraphs."""
     text = F.col(f"`{page}`")
     some = only(pages, page).where(text.rlike("(?i)<(article|main)[\\s>]") & (F.length(text) <= chars)).select(text.alias("t"), F.xxhash64(text).alias("h"))
-    rows = [r.t for r in some.orderBy("h", "t").limit(sample).collect()]
-    rows = list(dict.fromkeys(rows)) or ["<article><h1>A b c</h1><p>" + "word and word, " * 30 + "end.</p><p>" + "some more words " * 20 + "end.</p></article>"]
+    # tasks hand on hashes only; then come at most ``sample`` pages of ``chars`` characters, one for each hash
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
+    found = some.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("t").alias("t")).collect() if least else []
+    rows = [r.t for r in sorted(found, key=lambda r: r.h)] or ["<article><h1>A b c</h1><p>" + "word and word, " * 30 + "end.</p><p>" + "some more words " * 20 + "end.</p></article>"]
     rng, data = random.Random(5), []
     for source in rows:
         blocks, labels = labelled(source)
