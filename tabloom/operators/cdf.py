@@ -181,19 +181,16 @@ def numbered_two_sample(axis: Axis, against: str | None = None, min_size: int =
 def many_two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -> DataFrame:
     """As ``numbered_two_sample`` with a plan of one size for any number of labels.
 
-    A bucket's counts are laid out as values x labels in one task, a few values at a time, starting from the totals of the
-    buckets before it; a bucket hands on its largest gap and its area for every pair.
+    For all pairs a bucket's counts are laid out as values x labels in one task, a few values at a time, starting from the
+    totals of the buckets before it; one label against the others needs each pair's own values only. A bucket hands on its
+    largest gap and its area for every pair.
     """
     k, sizes = len(axis.labels), np.array(axis.sizes, float)
     reference = None if against is None else axis.labels.index(against)
 
     def compare(key: tuple, cells: pa.Table, before: pa.Table) -> pa.Table:
         ci = key[0].as_py()
-        if reference is None:
-            first, second = np.triu_indices(k, 1)
-        else:
-            second = np.delete(np.arange(k), reference)
-            first = np.full(k - 1, reference)
+        first, second = np.triu_indices(k, 1)
         size = sizes[ci]
         use = (size[first] >= max(min_size, 1)) & (size[second] >= max(min_size, 1))
         first, second = first[use], second[use]
@@ -225,9 +222,53 @@ def many_two_sample(axis: Axis, against: str | None = None, min_size: int = 1) -
             "ci": pa.array(np.full(len(first), ci), pa.int32()), "ia": pa.array(first, pa.int32()), "ib": pa.array(second, pa.int32()),
             "n_a": pa.array(size[first].astype(np.int64)), "n_b": pa.array(size[second].astype(np.int64)), "k": largest, "w": area})
 
+    def compare_one(key: tuple, cells: pa.Table, before: pa.Table) -> pa.Table:
+        """One label against the others: a pair is looked at where one of its two labels has a value, not at every value of the bucket."""
+        ci = key[0].as_py()
+        size = sizes[ci]
+        second = np.flatnonzero((size >= max(min_size, 1)) & (np.arange(k) != reference) & (size[reference] >= max(min_size, 1)))
+        x, gi, n = (cells[c].to_numpy() for c in ("x", "gi", "n"))
+        order = np.lexsort((x, gi))
+        x, label, n = x[order], gi[order] - 1, n[order]
+        base = np.zeros(k)
+        at, over = before["gi"].to_numpy(), before["n"].to_numpy()
+        base[at[at > 0] - 1] = over[at > 0]
+        after = before["after"][0].as_py() if before.num_rows else None
+        end = after if after is not None else x.max() if len(x) else 0.0
+        head = x.min() if len(x) else end
+        lo, hi = np.searchsorted(label, [reference, reference + 1])
+        ref_x, ref_n = x[lo:hi], n[lo:hi]
+        largest, area = np.zeros(len(second)), np.zeros(len(second))
+        block = max(1, TASK_CELLS // max(1, len(ref_x) + 1 + len(x) // k))
+        for a in range(0, len(second), block):
+            some = second[a: a + block]
+            place = np.searchsorted(some, label)
+            mine = np.flatnonzero((place < len(some)) & (some[np.minimum(place, len(some) - 1)] == label))
+            m = len(some)
+            # every pair starts at the bucket's first value, then come its own values and those of the one label
+            points = np.concatenate((np.full(m, head), x[mine], np.tile(ref_x, m)))
+            pair = np.concatenate((np.arange(m), place[mine], np.repeat(np.arange(m), len(ref_x))))
+            own = np.concatenate((base[some], n[mine], np.zeros(m * len(ref_x))))
+            ref = np.concatenate((np.full(m, base[reference]), np.zeros(len(mine)), np.tile(ref_n, m)))
+            by = np.lexsort((points, pair))  # stable: a pair's start comes first
+            points, pair = points[by], pair[by]
+            begin = np.searchsorted(pair, np.arange(m))
+            own, ref = (c - np.repeat(np.concatenate(([0], c[begin[1:] - 1])), np.diff(np.append(begin, len(pair))))
+                        for c in (np.cumsum(own[by]), np.cumsum(ref[by])))
+            gap = np.abs(ref / size[reference] - own / size[some][pair])
+            step = np.append(points[1:], end)
+            step[begin[1:] - 1] = end
+            ends = np.append((points[1:] != points[:-1]) | (pair[1:] != pair[:-1]), True)
+            largest[a: a + block] = np.maximum.reduceat(np.where(ends, gap, 0.0), begin)
+            area[a: a + block] = np.add.reduceat(gap * (step - points), begin)
+        return pa.table({
+            "ci": pa.array(np.full(len(second), ci), pa.int32()), "ia": pa.array(np.full(len(second), reference), pa.int32()),
+            "ib": pa.array(second, pa.int32()), "n_a": pa.array(np.full(len(second), int(size[reference])), pa.int64()),
+            "n_b": pa.array(size[second].astype(np.int64)), "k": largest, "w": area})
+
     starts = bucket_starts(axis).select(F.col("ci").alias("to_ci"), F.col("b").alias("to_b"), "gi", "n", "after")
     parts = axis.cells.groupBy("ci", "b").cogroup(starts.groupBy("to_ci", "to_b")).applyInArrow(
-        compare, "ci int, ia int, ib int, n_a bigint, n_b bigint, k double, w double")
+        compare if reference is None else compare_one, "ci int, ia int, ib int, n_a bigint, n_b bigint, k double, w double")
     return parts.groupBy("ci", "ia", "ib", "n_a", "n_b").agg(F.max("k").alias("ks"), F.sum("w").alias("wasserstein"))
 
 
